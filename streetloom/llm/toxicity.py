@@ -1,8 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Training compares token counts of toxic and other labelled texts by log-odds
-ratios with an informative Dirichlet prior (the pooled counts, scaled). Tokens
-whose ratio is significant score it; every other token costs a fixed ``drop``.
+ratios with an informative Dirichlet prior (the pooled counts, scaled). A word
+counts as itself and as its stems (its first four to seven letters), so that
+inflected and compound forms share what is known of their stem. A word scores
+the highest significant ratio among these; every other word costs a fixed
+``drop``.
 A text's toxic passages are all its maximal-scoring segments, found in one scan
 (linear in its tokens). By extreme-value theory a text of ``n`` random tokens
 holds on average ``K n exp(-lambda S)`` segments of score ``S`` or more; lambda
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from .common import columns_of, materialise, release
 
 #: Labelled rows learned from, at most: those of least hash of the id.
-MAX_TRAIN_ROWS = 50_000
-PRIOR_TOKENS = 1000.0
+MAX_TRAIN_ROWS = 30_000
+#: Weight of the prior: this share of the pooled counts. A token seen only in toxic texts is significant from about a dozen on.
+PRIOR_SHARE = 0.1
 MIN_Z = 4.0
 DROP = 0.7
 RARE = 0.05
+STEMS = range(4, 8)
+MAX_KNOWN = 200_000  # scored words kept in a worker
 _TOKEN = re.compile(r"\w+")
 
 
@@ -40,6 +46,24 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def forms_of(word: str) -> list[str]:
+    """The word, and its stems with a mark behind them."""
+    return [word, *(word[:n] + "*" for n in STEMS if n < len(word))]
+
+
+class _Scores(dict):
+    """Scores of words met so far (0: not significant); emptied when full."""
+
+    def __init__(self, known: dict[str, float]) -> None:
+        self.known = known
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MAX_KNOWN:
+            self.clear()
+        self[word] = found = max(self.known.get(f, 0.0) for f in forms_of(word))
+        return found
+
+
 def segments(hits: list[tuple[int, float]], drop: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(first, last, score)`` of a sequence in which only ``hits`` score above ``-drop``.
 
@@ -78,14 +102,20 @@ class Model:
     scale: float = 0.1
     rare: float = RARE
     curve: tuple[float, float] = (0.0, 0.0)
+    _words: _Scores | None = field(default=None, repr=False, compare=False)
+
+    def hits(self, tokens: list[str]) -> list[tuple[int, float]]:
+        """Positions and scores of the significant words."""
+        if self._words is None:
+            self._words = _Scores(self.scores)
+        return [(i, s) for i, s in enumerate(map(self._words.__getitem__, tokens)) if s]
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and the significant segments as ``(first token, last token, evidence)``."""
         tokens = tokens_of(text)
-        scores = self.scores
-        if scores.keys().isdisjoint(tokens):
+        hits = self.hits(tokens)
+        if not hits:
             return len(tokens), []
-        hits = [(i, scores[t]) for i, t in enumerate(tokens) if t in scores]
         chance = math.log(self.scale * len(tokens))
         found = ((a, b, self.rate * s - chance) for a, b, s in segments(hits, self.drop))
         least = -math.log(self.rare)
@@ -105,7 +135,7 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, training: F.Column |
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts of each task: in toxic, in other texts."""
+    """Token counts of each task: in toxic, in other texts. A text counts a form once, or one that is repeated on and on would look significant."""
     toxic: Counter = Counter()
     clean: Counter = Counter()
 
@@ -115,7 +145,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(tokens_of(text.as_py()))
+            (toxic if label else clean).update({f for word in set(tokens_of(text.as_py())) for f in forms_of(word)})
         if len(toxic) + len(clean) > 500_000:
             yield give()
             toxic.clear()
@@ -123,8 +153,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield give()
 
 
-def _log_odds(y: F.Column, n: int, a: F.Column) -> F.Column:
-    return F.log((y + a) / (F.lit(n + PRIOR_TOKENS) - y - a))
+def _log_odds(y: F.Column, n: float, a: F.Column) -> F.Column:
+    """Log-odds of a token with count ``y`` and prior ``a`` among ``n`` tokens, those of the prior included."""
+    return F.log((y + a) / (F.lit(n) - y - a))
 
 
 def _rate(scores: np.ndarray, share: np.ndarray, drop: float) -> float:
@@ -166,19 +197,21 @@ def train(
     columns_of(docs, id_col, text_col)
     columns_of(labels, id_col, label_col)
     sample = F.broadcast(_sample(labels.select(id_col, label_col), id_col, label_col, training, max_rows))
-    texts = materialise(docs.select(id_col, text_col).join(sample, id_col).select(text_col, "__label"))
+    texts = docs.select(id_col, text_col).join(sample, id_col).select(text_col, "__label")
+    # Copies count once, or a text copied often would make its words significant. (A text with both labels stays with each.)
+    texts = materialise(texts.withColumn("__h", F.xxhash64(text_col)).dropDuplicates(["__h", "__label"]).drop("__h"))
     counts = materialise(texts.mapInArrow(_counts, "token string, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
     n1, n0 = (n or 0 for n in counts.agg(F.sum("y1"), F.sum("y0")).first())
     rows = []
     if n1 and n0:
-        a = F.lit(PRIOR_TOKENS / (n1 + n0)) * (F.col("y1") + F.col("y0"))
-        ratio = _log_odds(F.col("y1"), n1, a) - _log_odds(F.col("y0"), n0, a)
+        a, all_a = F.lit(PRIOR_SHARE) * (F.col("y1") + F.col("y0")), PRIOR_SHARE * (n1 + n0)
+        ratio = _log_odds(F.col("y1"), n1 + all_a, a) - _log_odds(F.col("y0"), n0 + all_a, a)
         z = ratio / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
         odds = counts.select("token", "y0", a.alias("a"), ratio.alias("ratio"), z.alias("z"))
         rows = odds.where((F.col("z") >= min_z) & (F.col("ratio") > 0)).collect()
     model = Model({r.token: float(r.ratio) for r in rows}, drop, rare=rare)
     if rows:
-        share = np.array([(r.y0 + r.a) / (n0 + PRIOR_TOKENS) for r in rows])
+        share = np.array([(r.y0 + r.a) / (n0 + PRIOR_SHARE * (n1 + n0)) for r in rows])
         model.rate = _rate(np.array([r.ratio for r in rows]), share, drop)
         model = _with_scale(model, texts)
     found = np.array(texts.mapInArrow(_evidence(model), "evidence double, label int").toPandas().to_numpy(), float).reshape(-1, 2)
@@ -203,9 +236,7 @@ def _with_scale(model: Model, texts: DataFrame) -> Model:
                 if not label:
                     tokens = tokens_of(text.as_py())
                     size += len(tokens)
-                    if not model.scores.keys().isdisjoint(tokens):
-                        hits = [(i, model.scores[t]) for i, t in enumerate(tokens) if t in model.scores]
-                        seen += sum(s >= least for _, _, s in segments(hits, model.drop))
+                    seen += sum(s >= least for _, _, s in segments(model.hits(tokens), model.drop))
         yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([seen], pa.int64())], ["size", "seen"])
 
     size, seen = texts.mapInArrow(run, "size long, seen long").agg(F.sum("size"), F.sum("seen")).first()
