@@ -9,7 +9,7 @@ import sqlite3
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from streetloom.functions.geometry import POLYGON
@@ -72,6 +72,18 @@ def _geometry(blob: bytes | None) -> tuple[str | None, list | None]:
     return decode_wkb(blob, 8 + size)
 
 
+def _typed(value, kind: pa.DataType):
+    """SQLite lets any value into any column; what does not fit its declared type is null."""
+    if value is None:
+        return None
+    try:
+        if pa.types.is_boolean(kind):
+            return bool(value)
+        return int(value) if pa.types.is_integer(kind) else float(value) if pa.types.is_floating(kind) else str(value)
+    except ValueError:
+        return None
+
+
 def list_layers(path: str, kind: str = "features") -> list[str]:
     """Names of the vector (``features``) or raster (``tiles``) layers."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
@@ -90,19 +102,18 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
     names = ", ".join('"' + c.replace('"', '""') + '"' for c in [geometry, *(c for c, _ in columns)])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in columns), f"geom_type string, geom {POLYGON}"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}.get(t, pa.string()) for _, t in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first in b["id"]:
+            for first in b.column(0).to_pylist():
                 with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    found = db.execute(f"SELECT {names} FROM {quoted} WHERE rowid > ? AND rowid <= ? ORDER BY rowid", (int(first), int(first) + rows_per_task)).fetchall()
-                out = pd.DataFrame([r[1:] for r in found], columns=[c for c, _ in columns], dtype=object)
-                for c, t in columns:
-                    if t == "boolean":
-                        out[c] = out[c].map(lambda v: None if v is None else bool(v))
+                    found = db.execute(f"SELECT {names} FROM {quoted} WHERE rowid > ? AND rowid <= ? ORDER BY rowid", (first, first + rows_per_task)).fetchall()
                 shapes = [_geometry(r[0]) for r in found]
-                out["geom_type"] = [k for k, _ in shapes]
-                out["geom"] = [None if g is None else [[{"x": x, "y": y} for x, y in ring] for ring in g] for _, g in shapes]
-                yield out
+                values = [pa.array([_typed(r[k + 1], kind) for r in found], kind) for k, kind in enumerate(kinds)]
+                geoms = [None if g is None else [[{"x": x, "y": y} for x, y in ring] for ring in g] for _, g in shapes]
+                yield pa.RecordBatch.from_arrays([*values, pa.array([k for k, _ in shapes], pa.string()), pa.array(geoms, pa.list_(pa.list_(point)))], [*(c for c, _ in columns), "geom_type", "geom"])
 
     starts = spark.range(0, max(last, 1), rows_per_task)
-    return starts.repartition(max(1, -(-last // rows_per_task))).mapInPandas(run, schema)
+    return starts.repartition(max(1, -(-last // rows_per_task))).mapInArrow(run, schema)
