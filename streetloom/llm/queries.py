@@ -112,4 +112,35 @@ QUERIES = {
         op6_simhash_near_dedup, op7_url_filters, op8_suffix_array_dedup, op9_quality_classifier, op10_byte_bpe,
     )
 }
-ORACLES: dict[str, str] = {}
+_CHAT_SQL = r"""WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '### ', '\h') AS e,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(e) + 8 + CASE WHEN role IS DISTINCT FROM before THEN length(role) + 6 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+_LINES_SQL = r"""WITH docs AS (SELECT doc_id, text FROM documents),
+units AS (SELECT doc_id, text, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_units, unnest(string_split(text, chr(10))) AS unit, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM docs WHERE text IS NOT NULL),
+known AS (SELECT *, translate(trim(regexp_replace(unit, '[\x09-\x0D\x20]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
+  sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS start FROM units),
+ranked AS (SELECT *, k <> '' AND len(string_split(k, ' ')) >= 5 AND row_number() OVER (PARTITION BY k ORDER BY doc_id, place) > 1 AS gone FROM known),
+cut AS (SELECT doc_id, any_value(n_units) AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CASE WHEN gone THEN start || '-' || (start + length(unit)) END, ',' ORDER BY place), '') AS removed,
+  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN unit END, chr(10) ORDER BY place), '')) AS kept_sha256 FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM docs LEFT JOIN cut USING (doc_id)"""
+
+_URL_SQL = r"""WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+judged AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM judged)"""
+
+#: For tables as generated: document ids are unique, and no page has a canonical link or a redirect.
+ORACLES: dict[str, str] = {"op2_chat_formatting": _CHAT_SQL, "op3_substring_dedup": _LINES_SQL, "op7_url_filters": _URL_SQL}
