@@ -173,3 +173,29 @@ def scaled_band(grid: DataFrame, column: str) -> DataFrame:
     span = F.broadcast(grid.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi")))
     value = F.try_divide(c - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 255
     return grid.join(span).select("i", "j", F.coalesce(value.cast("int"), F.lit(99)).alias("band"))
+
+
+# Colours that land uses always have.
+FIXED_COLOURS = {"industrial": (255, 0, 0), "residential": (0, 255, 0), "commercial": (0, 0, 255), "office": (255, 255, 0), "retail": (255, 0, 255)}
+
+
+def palette(values: list[str]) -> dict[str, tuple[int, int, int]]:
+    """A colour for each category: the fixed one, or evenly spaced hues for the others in order."""
+    import colorsys
+
+    free = [v for v in sorted(values) if v not in FIXED_COLOURS]
+    hues = {v: tuple(int(c * 255) for c in colorsys.hsv_to_rgb(i / len(free), 0.75, 0.95)) for i, v in enumerate(free)}
+    return {v: FIXED_COLOURS.get(v) or hues[v] for v in values}
+
+
+def coloured_bands(grid: DataFrame, column: str) -> DataFrame:
+    """``i, j, red, green, blue`` of a categorical column; missing cells are black. (Categories are few: one row each comes to the driver.)"""
+    c = F.col(f"`{column}`")
+    colours = palette([r[0] for r in grid.where(c.isNotNull()).select(c).distinct().collect()])
+    bands = []
+    for k, name in enumerate(("red", "green", "blue")):
+        out = F.lit(0)
+        for value, rgb in colours.items():
+            out = F.when(c == value, rgb[k]).otherwise(out)
+        bands.append(out.alias(name))
+    return grid.select("i", "j", *bands)

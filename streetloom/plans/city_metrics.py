@@ -10,6 +10,7 @@ from streetloom.functions import scalars
 from streetloom.graph import roads
 from streetloom.operators import aggregates as agg
 from streetloom.operators import buildings as b
+from streetloom.operators.plots import neighbour_distance, plot_ids
 from streetloom.operators.spatial import nearest_segment
 from streetloom.plans.registry import Layers, Metric, Registry
 from streetloom.plans.shared import materialise
@@ -48,6 +49,9 @@ def default_registry() -> Registry:
     edge("intersection_left_angle", ("intersection_left_angle",), lambda x: roads.left_angles(e(x), n(x)), ("road_nodes.is_intersection", "road_edges.forward_angle"))
     edge("major_intersection_left_angle", ("major_intersection_left_angle",), lambda x: roads.left_angles(e(x), n(x), True), ("road_nodes.is_major_intersection", "road_edges.forward_angle"))
     edge("distance_to_last_intersection", ("distance_to_last_intersection",), lambda x: roads.distance_to_last_intersection(e(x), n(x)), ("road_nodes.is_intersection",))
+    last = {"mark": "is_major_intersection", "name": "distance_to_last_major_intersection"}
+    edge("distance_to_last_major_intersection", (last["name"],), lambda x: roads.distance_to_last_intersection(e(x).where(scalars.is_major(F.col("type_category"))), n(x), **last), ("road_nodes.is_major_intersection",))
+    edge("city_center_bearing", ("city_center_bearing",), lambda x: _center_bearing(x))
     edge("neighboring_street_orientation_deviation", ("neighboring_street_orientation_deviation",), lambda x: roads.orientation_deviation(e(x)))
     right = ("right_neighbour", "right_neighbour_angle_deviation", "right_neighbour_distance")
     edge("right_neighbour", right, lambda x: roads.right_neighbours(e(x)))
@@ -59,9 +63,16 @@ def default_registry() -> Registry:
     house("building_group_id", ("building_group_id",), lambda x: b.building_groups(h(x)))
     house("group_spread", ("building_group_area_std", "building_group_elongation_std"), lambda x: _group_spread(h(x)), ("buildings.building_group_id", "buildings.area", "buildings.elongation"))
     house("courtyards", ("building_group_courtyard_index",), lambda x: h(x).select("id", "building_group_id").join(b.group_courtyards(h(x)), "building_group_id"), ("buildings.building_group_id",))
+    shapes = ("elongation", "rectangularity", "circular_compactness", "fractal_dimension", "perimeter_area_ratio")
+    r.add(Metric("enclosure_shapes", "enclosures", "enclosure_id", shapes, lambda x: b.simple_ratios(b.framed(b.measured(x["enclosures"])))))
+    ratio = "enclosure_building_area_ratio"
+    r.add(Metric(ratio, "enclosures", "enclosure_id", (ratio,), lambda x: b.enclosure_building_ratio(x["enclosures"], h(x)), ("buildings.enclosure_id", "buildings.area")))
     house("enclosure_id", ("enclosure_id",), lambda x: b.largest_enclosure(h(x), x["enclosures"]))
     house("land_use_category", ("land_use_category",), lambda x: b.landuse_of(h(x), x["landuse"]))
     house("closest_road_edge_id", ("closest_road_edge_id",), lambda x: nearest_segment(h(x), e(x), CONFIG.nearest_street, "id", "edge_id").withColumnRenamed("edge_id", "closest_road_edge_id"), ("buildings.x",))
+    house("plot_id", ("plot_id",), lambda x: plot_ids(h(x), e(x), h(x).select("id", F.col("closest_road_edge_id").alias("edge_id"))), ("buildings.closest_road_edge_id", "buildings.area"))
+    house("neighbor_distance", ("neighbor_distance",), lambda x: neighbour_distance(h(x) if "city" in h(x).columns else h(x).withColumn("city", F.lit(""))))
+    house("coverage", ("building_group_enclosure_perimeter_coverage",), lambda x: h(x).select("id", "building_group_id").join(b.perimeter_coverage(h(x), x["enclosures"]), "building_group_id", "left"), ("buildings.building_group_id",))
     house("approximate_height", ("approximate_height",), lambda x: _height(h(x)))
     house("form_factor", ("form_factor",), lambda x: h(x).select("id", b.form_factor(F.col("area"), F.col("perimeter"), F.col("approximate_height")).alias("form_factor")), ("buildings.area", "buildings.approximate_height"))
     house("neighbours", ("alignment", "covered_area"), lambda x: b.neighbour_metrics(h(x)), ("buildings.orientation", "buildings.x"))
@@ -73,6 +84,12 @@ def _group_spread(h: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"area_std": "building_group_area_std", "elongation_std": "building_group_elongation_std"})
 
 
+def _center_bearing(x: Layers) -> DataFrame:
+    """The city centre is one row, read on the driver."""
+    c = x["city_center"].select("x", "y").first()
+    return roads.city_center_bearing(x["road_edges"], F.lit(c.x), F.lit(c.y))
+
+
 def _height(h: DataFrame) -> DataFrame:
     tags = [F.col(c) if c in h.columns else None for c in ("real_height", "real_levels")]
     return h.select("id", scalars.approximate_height(*tags, F.col("ghsl_height")).alias("approximate_height"))

@@ -9,9 +9,10 @@ from streetloom.fixtures import AFFINE, buildings, enclosures, landuse, raster,
 from streetloom.functions import geometry as g
 from streetloom.operators import buildings as b
 from streetloom.operators import grid as gr
-from streetloom.operators import learning
+from streetloom.operators import learning, plots
 from streetloom.operators.spatial import nearest_neighbours, nearest_segment
 from streetloom.queries.base import Registered, r6, sql6
+from streetloom.sources.city import tiles_of
 
 REGISTERED = Registered()
 query = REGISTERED.query
@@ -158,6 +159,29 @@ def tessellation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.tessellation_areas(placed, e, step=10.0).select("enclosure_id", "id", r6("area", "area"))
 
 
+@query()
+def plot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, e = houses(spark, sf_dir), road_edges(spark, sf_dir)
+    return plots.plot_ids(h, e, nearest_segment(h.select("id", "x", "y"), e, 200.0, "id", "edge_id"))
+
+
+@query()
+def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cities = buildings(spark, sf_dir).withColumn("city", F.concat(F.lit("c"), F.expr("id div 500")))
+    return plots.neighbour_distance(cities).select("id", r6("neighbor_distance", "neighbor_distance"))
+
+
+@query(f"WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM generate_series(0, 29) a(i), generate_series(0, 9) c(j)) SELECT i, j, CAST(CASE (i + j) % 3 WHEN 0 THEN 255 WHEN 1 THEN 0 ELSE 242 END AS INTEGER) AS red, CAST(CASE (i + j) % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 60 END AS INTEGER) AS green, CAST(CASE (i + j) % 3 WHEN 0 THEN 255 WHEN 1 THEN 0 ELSE 60 END AS INTEGER) AS blue FROM g")
+def grid_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = (F.col("i") + F.col("j")) % 3
+    return gr.coloured_bands(_grid(spark).withColumn("use", F.when(step == 0, "retail").when(step == 2, "forest")), "use")
+
+
+@query(with_ctes(["enclosures", "buildings"], "SELECT DISTINCT e.enclosure_id AS tile_id FROM enclosures e JOIN buildings a ON a.minx <= e.maxx AND e.minx <= a.maxx AND a.miny <= e.maxy AND e.miny <= a.maxy WHERE a.id % 50 = 0"))
+def tiles_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles_of(buildings(spark, sf_dir).where("id % 50 = 0"), enclosures(spark, sf_dir).withColumnRenamed("enclosure_id", "tile_id"))
+
+
 # --- grid and raster -----------------------------------------------------------
 
 _PLACED = """placed AS (SELECT i, j, b.*, greatest(0, least(maxx, 100 * i + 100) - greatest(minx, 100 * i)) * greatest(0, least(maxy, 100 * j + 100) - greatest(miny, 100 * j)) AS overlap FROM buildings b, generate_series(0, 40) a(i), generate_series(0, 80) c(j)

@@ -105,3 +105,33 @@ def write_templates(df: DataFrame, key: str, folder: str) -> DataFrame:
 
 def template(name: str, histograms: dict) -> str:
     return json.dumps({"name": name, "histograms": histograms}, sort_keys=True)
+
+
+class Locked(RuntimeError):
+    """Another run holds the city."""
+
+
+class Lock:
+    """A file beside the layers that says what is going on; created atomically by the file system.
+
+    ``against`` names the reasons that block this one. A download blocks
+    processing, and both block contextualizing.
+    """
+
+    BLOCKS = {"PROCESS": ("DOWNLOAD",), "CONTEXTUALIZE": ("DOWNLOAD", "PROCESS"), "DOWNLOAD": ("DOWNLOAD",)}
+
+    def __init__(self, spark: SparkSession, path: str, reason: str) -> None:
+        self.reason = reason
+        self._paths = {r: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_{r.lower()}.lock") for r in self.BLOCKS}
+        self._fs = self._paths[reason].getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def __enter__(self) -> Lock:
+        held = [r for r in self.BLOCKS[self.reason] if self._fs.exists(self._paths[r])]
+        if held:
+            raise Locked(f"held for {', '.join(held)}")
+        if not self._fs.createNewFile(self._paths[self.reason]):
+            raise Locked(f"held for {self.reason}")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._fs.delete(self._paths[self.reason], False)

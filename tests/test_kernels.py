@@ -56,3 +56,24 @@ def test_distribution_grades():
     assert k.fit_distribution(rng.lognormal(1, 0.4, 4000))["name"] == "lognorm"
     assert k.fit_distribution(rng.standard_cauchy(400) * 0.01 + 5)["quality"] in ("GOOD", "OK", "BAD")
     assert k.fit_distribution(np.array([1.0]))["quality"] == "UNDEFINED" and k.fit_distribution(np.array([2.0, 2.0, np.nan]))["name"] == "zero"
+
+
+@given(st.lists(st.tuples(st.floats(0, 100), st.floats(0, 100)), min_size=3, max_size=14, unique=True))
+@settings(max_examples=40, deadline=None)
+def test_delaunay_neighbours_see_each_other(points):
+    from streetloom.operators.plots import delaunay_neighbours
+
+    pts = np.array(points)
+    near = delaunay_neighbours(pts)
+    gaps = np.hypot(*(pts[:, None] - pts[None]).transpose(2, 0, 1))
+    np.fill_diagonal(gaps, np.inf)
+    for i, n in enumerate(near):
+        if np.sort(gaps[i])[0] > 1e-3:
+            assert int(gaps[i].argmin()) in n or np.isclose(np.sort(gaps[i])[0], np.sort(gaps[i])[1])  # the nearest point is always one
+
+
+def test_delaunay_of_a_square_with_its_middle():
+    from streetloom.operators.plots import delaunay_neighbours
+
+    near = delaunay_neighbours(np.array([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2.1)], float))
+    assert near[4].tolist() == [0, 1, 2, 3] and 4 in near[0] and 2 not in near[0]
