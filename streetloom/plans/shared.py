@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +14,23 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset (one machine) a temporary folder for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streetloom-"))
+        own = tempfile.mkdtemp(prefix="streetloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it, without the lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/streetloom/{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and return a frame that reads it, without the lineage.
+
+    Later plans read the files, so they stay until :func:`release`, or until
+    the folder of the application is deleted.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/streetloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._streetloom_path = path
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[2]
-    target = Path(tempfile.mkdtemp(prefix="streetloom-")) / "streetloom_sources.zip"
+    folder = tempfile.mkdtemp(prefix="streetloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "streetloom_sources.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.glob("streetloom/**/*.py")):
             z.write(p, p.relative_to(root))
