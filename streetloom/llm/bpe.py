@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 
 from .common import columns_of
 
-MAX_STATES = 100_000
+MAX_STATES = 150_000
 MAX_PIECES = 200_000
 MAX_PAIRS = 500_000
 _FLUSH = 4096
 _ENDLESS = 1 << 60
+_BITS = 24  # room for a token id; an open token is its node above its predecessor's id plus one
+_LOW = (1 << _BITS) - 1
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -47,7 +49,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self.kids: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         self.depth: list[int] = [0]
@@ -87,7 +89,7 @@ class Vocabulary:
         before the one which absorbed either of the two. Of equal merges the
         leftmost comes first.
         """
-        known = self._follows.get((left, right))
+        known = self._follows.get(left << _BITS | right)
         if known is not None:
             return known
         a, b, a_gone, b_gone, good = left, right, _ENDLESS, _ENDLESS, True
@@ -105,7 +107,7 @@ class Vocabulary:
                 break
         if len(self._follows) >= MAX_PAIRS:
             self._follows.clear()
-        self._follows[left, right] = good
+        self._follows[left << _BITS | right] = good
         return good
 
 
@@ -117,12 +119,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self._number: dict[tuple, int] = {}
-        self._open: list[tuple] = []
+        self._number: dict[tuple[int, ...], int] = {}
+        self._open: list[tuple[int, ...]] = []
         self._next: list[dict[int, tuple[int, int]]] = []
-        self._state(((0, -1),))
+        self._state((0,))
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, key: tuple[int, ...]) -> int:
         found = self._number.get(key)
         if found is None:
             found = self._number[key] = len(self._open)
@@ -131,26 +133,46 @@ class Transducer:
         return found
 
     def _determinise(self, state: int, byte: int) -> tuple[int, int]:
-        words, last, still = self.words, -1, []
-        for node, before in self._open[state]:
-            below = words.kids[node].get(byte)
+        """The state after ``byte`` and the last token of the prefix that it ends."""
+        kids, tokens, known, follows = self.words.kids, self.words.token, self.words._follows, self.words.follows
+        last, still = -1, []
+        for one in self._open[state]:
+            below = kids[one >> _BITS].get(byte)
             if below is None:
                 continue
-            token = words.token[below]
-            if last < 0 <= token and (before < 0 or words.follows(before, token)):
-                last = token
-            if words.kids[below]:
-                still.append((below, before))
+            before, token = one & _LOW, tokens[below]
+            if last < 0 <= token:
+                good = True if not before else known.get((before - 1) << _BITS | token)
+                if follows(before - 1, token) if good is None else good:
+                    last = token
+            if kids[below]:
+                still.append(below << _BITS | before)
         if last < 0:
             raise ValueError(f"the vocabulary lacks byte {byte}")
-        step = self._state((*still, (0, last))), last
+        still.append(last + 1)  # a token may begin here: the root, behind the last token
+        step = self._state(tuple(still)), last
         self._next[state][byte] = step
         return step
 
+    def _finish(self, state: int, byte: int) -> int:
+        """The last token only, for the end of a piece, where no state is needed."""
+        step = self._next[state].get(byte)
+        if step is not None:
+            return step[1]
+        kids, tokens, known, follows = self.words.kids, self.words.token, self.words._follows, self.words.follows
+        for one in self._open[state]:
+            below = kids[one >> _BITS].get(byte)
+            if below is not None and (token := tokens[below]) >= 0:
+                before = one & _LOW
+                good = True if not before else known.get((before - 1) << _BITS | token)
+                if follows(before - 1, token) if good is None else good:
+                    return token
+        raise ValueError(f"the vocabulary lacks byte {byte}")
+
     def _settled(self, state: int, last: list[int]) -> int:
         """The longest prefix on whose tokens all open tokens agree."""
         size, here = self.words.bytes, len(last) - 1
-        starts = sorted(here - self.words.depth[node] for node, _ in self._open[state])
+        starts = sorted(here - self.words.depth[one >> _BITS] for one in self._open[state])
         path, at = {0}, starts[0]
         while at:
             path.add(at)
@@ -171,8 +193,10 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
+        if not piece:
+            return out
         last, state, table = [-1], 0, self._next
-        for byte in piece:
+        for byte in piece[:-1]:
             step = table[state].get(byte)
             if step is None:
                 step = self._determinise(state, byte)
@@ -182,6 +206,7 @@ class Transducer:
                 done = self._settled(state, last)
                 out += self._back(last, done)
                 last = [-1, *last[done + 1 :]]
+        last.append(self._finish(state, piece[-1]))
         out += self._back(last, len(last) - 1)
         if len(self._open) > self.max_states:
             self._reset()
