@@ -24,11 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import columns_of
+from .common import columns_of, held, small
 
-MAX_STATES = 150_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 500_000
+MAX_STATES = 100_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 300_000
 _FLUSH = 4096
 _ENDLESS = 1 << 60
 _BITS = 24  # room for a token id; an open token is its node above its predecessor's id plus one
@@ -327,15 +327,13 @@ class Utf8:
         return "�" if left else ""
 
 
-_MADE: dict[tuple, object] = {}
-
-
 def _once(kind: type, *key):
     """One encoder or decoder of each vocabulary in a worker process, whatever the number of tasks."""
     name = (kind, *(hashlib.sha256(k).digest() if isinstance(k, bytes) else k for k in key))
-    if name not in _MADE:
-        _MADE[name] = kind(read_ranks(key[0]), *key[1:])
-    return _MADE[name]
+    kept = held("bpe")
+    if name not in kept:
+        kept[name] = kind(read_ranks(key[0]), *key[1:])
+    return kept[name]
 
 
 def _file(path: str) -> bytes:
@@ -357,7 +355,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{out_col}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             own = _once(Encoder, ranks.value, pattern)
             ids = pa.array((own.encode(t.as_py()) for t in b.column(at)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*kept, out_col])
@@ -374,7 +372,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + f", `{out_col}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             own = _once(Decoder, ranks.value)
             text = pa.array(("".join(own.stream(i.as_py() or ())) for i in b.column(at)), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, text], [*kept, out_col])
@@ -393,7 +391,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             there, back = _once(Encoder, ranks.value, pattern), _once(Decoder, ranks.value)
             decimal = _once(_Decimal, ranks.value).of
             count, ids_sha, text_sha = [], [], []

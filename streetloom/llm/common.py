@@ -2,48 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset (tests on
-    one machine) a temporary folder takes its place for the whole session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streetloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it.
-
-    Cuts the lineage, so that a lost executor costs a file read and no
-    recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/streetloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._streetloom_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a frame made by :func:`materialise`."""
-    path = getattr(df, "_streetloom_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def columns_of(df: DataFrame, *names: str) -> list[str]:
@@ -52,3 +16,29 @@ def columns_of(df: DataFrame, *names: str) -> list[str]:
     if missing:
         raise ValueError(f"missing columns {missing}; the frame has {df.columns}")
     return list(names)
+
+
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What an operator keeps in a worker process, from one task to the next.
+
+    Spark reuses worker processes, so what other operators kept is let go
+    first: a process never holds more than one operator's working set.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that few texts are unpacked at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

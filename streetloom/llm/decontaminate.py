@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import columns_of
+from .common import columns_of, held, small
 
 ERROR_RATE = 0.05
 #: Characters of items searched in one pass over the documents; more items take more passes.
@@ -135,17 +135,14 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars:
         yield tuple(sorted(block))
 
 
-_MADE: dict[tuple, Matcher] = {}
-
-
 def _matcher(block: tuple, rate: float) -> Matcher:
     """The automaton of a block, made once in each worker process; two are kept at most."""
-    key = (rate, block)
-    if key not in _MADE:
-        while len(_MADE) > 1:
-            del _MADE[next(iter(_MADE))]
-        _MADE[key] = Matcher(list(block), rate)
-    return _MADE[key]
+    kept, key = held("decontaminate"), (rate, block)
+    if key not in kept:
+        while len(kept) > 1:
+            del kept[next(iter(kept))]
+        kept[key] = Matcher(list(block), rate)
+    return kept[key]
 
 
 def find_items(
@@ -174,7 +171,7 @@ def _finding(shared, rate: float, names: list[str], benchmark: DataFrame):
     kind = to_arrow_type(benchmark.schema[names[1]].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             own = _matcher(shared.value, rate)
             hits = [(row, *hit) for row, text in enumerate(b.column(1)) for hit in own.find(text.as_py())]
             row, item, start, stop, distance = zip(*hits, strict=True) if hits else ([],) * 5
@@ -194,7 +191,7 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small(batches):
                 own = _matcher(shared.value, rate)
                 yield b.filter(pa.array([not own.find(t.as_py()) for t in b.column(at)], pa.bool_()))
 

@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise, release
+from streetloom.plans.shared import materialise, release
+
+from .common import columns_of, held, small
 
 SEPARATOR = "\n"
 MIN_WORDS = 5
@@ -68,7 +70,8 @@ def remove_repeats(
     shape = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("lines")
+        for b in small(batches):
             texts, sizes, cuts = [], [], []
             for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 units, gone, at, removed = [] if text is None else text.split(separator), set(places or ()), 0, []

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns_of
+from .common import columns_of, held, small
 
 UNIT = 192
 FILL = b" "
@@ -103,7 +103,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
     columns_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("media")
+        for b in small(batches):
             media = pa.array([to_wav(payload_of(t.as_py())) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), media], [id_col, media_col])
 
@@ -115,7 +116,8 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
     columns_of(media, id_col, media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("media")
+        for b in small(batches):
             found = [features(from_wav(m.as_py())) if m.is_valid else features(b"") for m in b.column(1)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([f.n_frames for f in found], pa.int64()), pa.array([f.n_peaks for f in found], pa.int64()),
@@ -149,7 +151,8 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("media")
+        for b in small(batches):
             if b.num_rows:
                 columns = zip(*(one(t.as_py()) for t in b.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names)

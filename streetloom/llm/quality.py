@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, held, small
 
 #: Labelled rows learned from, at most: those of least hash of the id.
 MAX_TRAIN_ROWS = 20_000
@@ -75,7 +75,8 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("quality")
+        for b in small(batches):
             values = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in np.ascontiguousarray(values.T))], [id_col, *STATISTICS])
 
@@ -231,7 +232,8 @@ def train(
     texts = docs.select(id_col, text_col).join(sample, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("quality")
+        for b in small(batches):
             values = [statistics(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(values, pa.list_(pa.float64()))], ["label", "x"])
 

@@ -22,8 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise
-from .components import connected_components
+from streetloom.graph.components import connected_components
+from streetloom.plans.shared import materialise
+
+from .common import columns_of, held, small
 
 SHINGLE = 3
 RADIUS = 2
@@ -64,7 +66,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("simhash")
+        for b in small(batches):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps.view(np.int64))], [*kept, "fp"])
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise, release
+from streetloom.plans.shared import materialise, release
+
+from .common import columns_of, held, small
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 200
 GRAM = 48
 SPLIT_ABOVE = 8192
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _CHUNK = 1 << 18  # bytes hashed at once; position bits of the keys that windows are ranked by
 _U = np.uint64
 
@@ -117,7 +119,7 @@ def anchor_runs(data: np.ndarray, valid: np.ndarray, length: int = LENGTH, gram:
     return first, count, _mixed(hashes[at]), _mixed(context + _mixed(shape))
 
 
-def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of at most 256 KiB: bytes, valid starts, and for each byte its text and the position there.
 
     Texts are laid end to end; longer ones are cut with an overlap, so that
@@ -156,9 +158,9 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """``id, tag, start, count, anchor, context`` of all runs of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substrings")
         for b in batches:
-            texts = [_utf8(t) for t in b.column(2)]
-            for data, valid, row, place in _chunks(texts, length):
+            for data, valid, row, place in _chunks(map(_utf8, b.column(2)), length):
                 first, count, anchor, context = anchor_runs(data, valid, length, gram)
                 own = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays([
@@ -209,9 +211,10 @@ def _sort_shards(length: int, shard_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "context", "first", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("substrings")
         rows: list[tuple] = []
         size, last = 0, (None, None)
-        for b in batches:
+        for b in small(batches):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:2] == last:
                     continue
@@ -274,7 +277,7 @@ def repeated_spans(
     asked = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count", "anchor", "context", "times", "kinds")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             for text, rows in zip(b.column(0), b.column(1), strict=True):
                 data, rows = _utf8(text), rows.as_py()
                 yield pa.RecordBatch.from_arrays([
@@ -335,7 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shape = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("substrings")
+        for b in small(batches):
             texts, sizes, cuts, digests = [], [], [], []
             for text, found in zip(b.column(0), b.column(1), strict=True):
                 data = _utf8(text)

@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise, release
+from streetloom.plans.shared import materialise, release
+
+from .common import columns_of, held, small
 
 #: Labelled rows learned from, at most: those of least hash of the id.
 MAX_TRAIN_ROWS = 30_000
@@ -143,10 +145,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(toxic.keys() | clean.keys())
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["token", "y1", "y0"])
 
-    for b in batches:
+    held("toxicity")
+    for b in small(batches):
         for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
             (toxic if label else clean).update({f for word in set(tokens_of(text.as_py())) for f in forms_of(word)})
-        if len(toxic) + len(clean) > 500_000:
+        if len(toxic) + len(clean) > 300_000:
             yield give()
             toxic.clear()
             clean.clear()
@@ -231,7 +234,7 @@ def _with_scale(model: Model, texts: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = seen = 0
-        for b in batches:
+        for b in small(batches):
             for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if not label:
                     tokens = tokens_of(text.as_py())
@@ -246,7 +249,7 @@ def _with_scale(model: Model, texts: DataFrame) -> Model:
 
 def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sums = [sum(e for _, _, e in model.passages(t.as_py())[1]) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), b.column(1).cast(pa.int32())], ["evidence", "label"])
 
@@ -267,8 +270,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shape = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("evidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         own = shared.value
-        for b in batches:
+        for b in small(batches):
             found = [own.passages(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([own.probability(sum(e for _, _, e in p)) for _, p in found], pa.float64()), pa.array([n for n, _ in found], pa.int64()),
@@ -285,8 +289,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         own = shared.value
-        for b in batches:
+        for b in small(batches):
             keep = [own.probability(sum(e for _, _, e in own.passages(t.as_py())[1])) < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
