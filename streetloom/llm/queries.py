@@ -58,7 +58,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     offsets = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"))), ",")
     return found.select("doc_id", "n_units", "n_removed", offsets.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
