@@ -195,7 +195,8 @@ def tessellation_areas(df: DataFrame, enclosures: DataFrame, step: float = 2.0)
     """``enclosure_id, id, area``: area of an enclosure that lies nearest to each of its buildings.
 
     The enclosure's box is sampled every ``step`` metres, and each sample goes
-    to the building whose box is nearest (of equal ones the least id).
+    to the building whose box is nearest (of equal ones the least id); a
+    building that wins none has area 0.
     Buildings of under 10 square metres take part in nothing.
     """
     nx, ny = (F.floor((F.col(f"max{c}") - F.col(f"min{c}")) / step).cast("int") for c in "xy")
@@ -206,5 +207,6 @@ def tessellation_areas(df: DataFrame, enclosures: DataFrame, step: float = 2.0)
     dx = F.greatest(F.lit(0.0), F.col("minx") - F.col("sx"), F.col("sx") - F.col("maxx"))
     dy = F.greatest(F.lit(0.0), F.col("miny") - F.col("sy"), F.col("sy") - F.col("maxy"))
     nearest = samples.join(houses, "enclosure_id").groupBy("enclosure_id", "i", "j").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "id"))["id"].alias("id"))
-    return nearest.groupBy("enclosure_id", "id").agg((F.count("*") * F.lit(step * step)).alias("area"))
+    won = nearest.groupBy("enclosure_id", "id").agg((F.count("*") * F.lit(step * step)).alias("area"))
+    return houses.select("enclosure_id", "id").join(won, ["enclosure_id", "id"], "left").select("enclosure_id", "id", F.coalesce("area", F.lit(0.0)).alias("area"))
 

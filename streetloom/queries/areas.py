@@ -156,7 +156,7 @@ def enclosures_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tessellation(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, e = houses(spark, sf_dir), enclosures(spark, sf_dir)
     placed = h.join(b.largest_enclosure(h, e), "id")
-    return b.tessellation_areas(placed, e, step=10.0).select("enclosure_id", "id", r6("area", "area"))
+    return b.tessellation_areas(placed, e).select("enclosure_id", "id", r6("area", "area"))
 
 
 @query()
