@@ -203,8 +203,12 @@ def grid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT g.i, g.j, any_value(m.class) AS mode_class, any_value(s.class) AS most_class, {sql6('avg(p.ghsl_height)', 'mean_height')}, {sql6('coalesce(sum(p.ghsl_height), 0)', 'sum_height')}, count(p.real_height) AS n
   FROM grid g LEFT JOIN placed p ON p.i = g.i AND p.j = g.j LEFT JOIN modes m ON m.i = g.i AND m.j = g.j LEFT JOIN most s ON s.i = g.i AND s.j = g.j GROUP BY g.i, g.j"""))
 def grid_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city's frame of 30 x 10 cells, grown to all buildings."""
     placed = gr.cells_of(buildings(spark, sf_dir).drop("geom"), 0, 0)
-    found = gr.grid_aggregates(_grid(spark), placed, "b", mode=["class"], most=["class"], mean=["ghsl_height"], total=["ghsl_height"], count=["real_height"])
+    left, right, low, high = placed.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    (left, right), (low, high) = ((min(0, a or 0), max(n, b or 0)) for a, b, n in ((left, right, 29), (low, high, 9)))
+    grid = gr.create_grid(spark, 100 * left, 100 * low, 100 * (right + 1), 100 * (high + 1)).withColumns({"i": F.col("i") + left, "j": F.col("j") + low})
+    found = gr.grid_aggregates(grid, placed, "b", mode=["class"], most=["class"], mean=["ghsl_height"], total=["ghsl_height"], count=["real_height"])
     return found.select("i", "j", F.col("`b::class::mode`").alias("mode_class"), F.col("`b::class::most_intersecting`").alias("most_class"), r6(F.col("`b::ghsl_height::mean`"), "mean_height"), r6(F.col("`b::ghsl_height::sum`"), "sum_height"), F.col("`b::real_height::count`").alias("n"))
 
 

@@ -19,3 +19,15 @@ def test_building_without_a_sample_has_no_area(spark):
     e = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0)], "enclosure_id long, minx double, miny double, maxx double, maxy double")
     h = spark.createDataFrame([(1, 7, 0.0, 0.0, 9.0, 9.0, 81.0), (1, 8, 0.0, 0.0, 9.0, 9.0, 81.0)], "enclosure_id long, id long, minx double, miny double, maxx double, maxy double, area double")
     assert {tuple(r) for r in b.tessellation_areas(h, e).collect()} == {(1, 7, 400.0), (1, 8, 0.0)}
+
+
+def parts(spark, path, n):
+    spark.range(1, n + 1).select(F.col("id").alias("p_partkey"), F.lit(900.0).alias("p_retailprice")).coalesce(1).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_grid_grows_to_all_buildings(spark, tmp_path):
+    sf = parts(spark, tmp_path, 4000)
+    got = areas.grid_aggregates(spark, sf).agg(F.max("j"), F.sum("n"), F.count("*")).first()
+    met = areas.gr.cells_of(areas.buildings(spark, sf).drop("geom"), 0, 0).agg(F.max("j"), F.count("real_height")).first()
+    assert met[0] > 9 and (got[0], got[1], got[2]) == (met[0], met[1], 30 * (met[0] + 1))
