@@ -179,7 +179,7 @@ def grid_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_ctes(["enclosures", "buildings"], "SELECT DISTINCT e.enclosure_id AS tile_id FROM enclosures e JOIN buildings a ON a.minx <= e.maxx AND e.minx <= a.maxx AND a.miny <= e.maxy AND e.miny <= a.maxy WHERE a.id % 50 = 0"))
 def tiles_met(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles_of(buildings(spark, sf_dir).where("id % 50 = 0"), enclosures(spark, sf_dir).withColumnRenamed("enclosure_id", "tile_id"))
+    return tiles_of(buildings(spark, sf_dir), enclosures(spark, sf_dir).withColumnRenamed("enclosure_id", "tile_id"))
 
 
 # --- grid and raster -----------------------------------------------------------

@@ -31,3 +31,9 @@ def test_grid_grows_to_all_buildings(spark, tmp_path):
     got = areas.grid_aggregates(spark, sf).agg(F.max("j"), F.sum("n"), F.count("*")).first()
     met = areas.gr.cells_of(areas.buildings(spark, sf).drop("geom"), 0, 0).agg(F.max("j"), F.count("real_height")).first()
     assert met[0] > 9 and (got[0], got[1], got[2]) == (met[0], met[1], 30 * (met[0] + 1))
+
+
+def test_tiles_are_met_by_all_buildings(spark):
+    houses, tiles = areas.buildings(spark, SF).collect(), areas.enclosures(spark, SF).collect()
+    want = {t.enclosure_id for t in tiles for h in houses if h.minx <= t.maxx and t.minx <= h.maxx and h.miny <= t.maxy and t.miny <= h.maxy}
+    assert {r.tile_id for r in areas.tiles_met(spark, SF).collect()} == want
