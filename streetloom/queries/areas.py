@@ -11,6 +11,7 @@ from streetloom.operators import buildings as b
 from streetloom.operators import grid as gr
 from streetloom.operators import learning, plots
 from streetloom.operators.spatial import nearest_neighbours, nearest_segment
+from streetloom.plans.shared import materialise
 from streetloom.queries.base import Registered, r6, sql6
 from streetloom.sources.city import tiles_of
 
@@ -258,9 +259,10 @@ def grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- learning ------------------------------------------------------------------
 
 
-def _vectors(spark: SparkSession, sf_dir: str, n: int = 6) -> tuple[DataFrame, list[str]]:
+def _vectors(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[DataFrame, list[str]]:
     names = [f"e{i}" for i in range(n)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names))), names
+    # Written first: a filter over 64 aliases takes the optimizer 2 ** 64 constraints.
+    return materialise(table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)))), names
 
 
 @query()

@@ -37,3 +37,10 @@ def test_tiles_are_met_by_all_buildings(spark):
     houses, tiles = areas.buildings(spark, SF).collect(), areas.enclosures(spark, SF).collect()
     want = {t.enclosure_id for t in tiles for h in houses if h.minx <= t.maxx and t.minx <= h.maxx and h.miny <= t.maxy and t.miny <= h.maxy}
     assert {r.tile_id for r in areas.tiles_met(spark, SF).collect()} == want
+
+
+def test_kmeans_takes_whole_vectors(spark, monkeypatch):
+    seen, own = [], areas.learning.k_means
+    monkeypatch.setattr(areas.learning, "k_means", lambda df, key, names, **rest: (seen.append(len(names)), own(df, key, names, **rest))[1])
+    found = {r.cluster: r.n for r in areas.kmeans_embeddings(spark, SF).collect()}
+    assert seen == [64] and len(found) == 8 and sum(found.values()) == areas.table(spark, SF, "embeddings").count()
