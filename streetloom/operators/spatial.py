@@ -16,6 +16,9 @@ from streetloom.functions.geometry import hypot, segment_distance_squared
 from streetloom.plans.shared import materialise
 
 
+_ENDS = ("x1", "y1", "x2", "y2")
+
+
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -61,17 +64,32 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, by: list[str]
     return a.join(b, [*by, "__cx", "__cy"]).where(dx * dx + dy * dy <= radius * radius).withColumn("distance", F.sqrt(dx * dx + dy * dy)).drop("__cx", "__cy")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, most: float, point_id: str, segment_id: str, by: list[str] = ()) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, most: float, point_id: str, segment_id: str, by: list[str] = (), first: float | None = None) -> DataFrame:
     """For each point the nearest segment (``x1, y1, x2, y2``) within ``most``, of several the least id.
 
     ``by, point_id, segment_id, distance``; points without one are left out.
+    Points look within ``first`` (an eighth of ``most``), and those that found
+    nothing look four times as far: whatever is found within a radius is
+    nearer than all beyond it, so most points test few segments.
     """
-    boxed = points.withColumns({"minx": F.col("x"), "miny": F.col("y"), "maxx": F.col("x"), "maxy": F.col("y")})
-    lines = segments.withColumns({"minx": F.least("x1", "x2"), "miny": F.least("y1", "y2"), "maxx": F.greatest("x1", "x2"), "maxy": F.greatest("y1", "y2")})
-    d2 = segment_distance_squared(*(F.col(c) for c in ("l_x", "l_y", "r_x1", "r_y1", "r_x2", "r_y2")))
-    pairs = box_join(boxed, lines, most, None, by, margin=most).withColumn("__d2", d2).where(F.col("__d2") <= most * most)
-    best = F.min(F.struct(F.col("__d2"), F.col(f"r_{segment_id}").alias("id")))
-    return pairs.groupBy(*by, F.col(f"l_{point_id}").alias(point_id)).agg(best.alias("b")).select(*by, point_id, F.col("b.id").alias(segment_id), F.sqrt("b.__d2").alias("distance"))
+    by, keys = list(by), [*by, point_id]
+    todo = points.select(*keys, "x", "y")
+    lines = segments.select(*by, F.col(segment_id).alias("__id"), *_ENDS)
+    d2 = segment_distance_squared(*(F.col(c) for c in ("x", "y", *_ENDS)))
+    radius, out = min(first or most / 8, most), None
+    while True:
+        # A point lies in one cell, so pairs need no distinct, and are grouped where the join left them.
+        cell = 3 * radius
+        spans = [F.sequence(_cell(F.least(a, b) - radius, cell), _cell(F.greatest(a, b) + radius, cell)) for a, b in (("x1", "x2"), ("y1", "y2"))]
+        near = lines.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1]))
+        pairs = todo.withColumns({"__cx": _cell(F.col("x"), cell), "__cy": _cell(F.col("y"), cell)}).join(near, [*by, "__cx", "__cy"])
+        pairs = pairs.select(*keys, "__cx", "__cy", "__id", d2.alias("__d2")).where(F.col("__d2") <= radius * radius)
+        found = pairs.groupBy(*keys, "__cx", "__cy").agg(F.min(F.struct("__d2", "__id")).alias("b")).select(*keys, F.col("b.__id").alias(segment_id), F.sqrt("b.__d2").alias("distance"))
+        if radius >= most:
+            return found if out is None else out.unionByName(found)
+        found = materialise(found)  # read twice
+        out = found if out is None else out.unionByName(found)
+        todo, radius = todo.join(found.select(*keys), keys, "left_anti"), min(4 * radius, most)
 
 
 def nearest_neighbours(points: DataFrame, k: int, key: str, start: float, by: list[str] = (), most_rounds: int = 40) -> DataFrame:

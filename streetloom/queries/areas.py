@@ -135,8 +135,8 @@ def perimeter_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_ctes(["buildings", "edges"], f"""SELECT id, {sql6('sqrt(d)', 'length')} FROM (SELECT id, min({_GAP}) AS d FROM (SELECT id, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (length * length))) AS t
   FROM buildings JOIN edges ON least(x1, x2) - 200 <= x AND x <= greatest(x1, x2) + 200 AND least(y1, y2) - 200 <= y AND y <= greatest(y1, y2) + 200 WHERE area > 10) GROUP BY id) WHERE d <= 40000"""))
 def plot_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, e = houses(spark, sf_dir), road_edges(spark, sf_dir)
-    closest = nearest_segment(h.select("id", "x", "y"), e, 200.0, "id", "edge_id")
+    h, e = materialise(houses(spark, sf_dir).select("id", "area", "x", "y")), road_edges(spark, sf_dir)
+    closest = nearest_segment(h, e, 200.0, "id", "edge_id")
     return b.plot_seeds(h, e, closest).select("id", r6(g.hypot(F.col("cx") - F.col("px"), F.col("cy") - F.col("py")), "length"))
 
 
@@ -162,8 +162,8 @@ def tessellation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def plot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, e = houses(spark, sf_dir), road_edges(spark, sf_dir)
-    return plots.plot_ids(h, e, nearest_segment(h.select("id", "x", "y"), e, 200.0, "id", "edge_id"))
+    h, e = materialise(houses(spark, sf_dir).drop("geom")), road_edges(spark, sf_dir)
+    return plots.plot_ids(h, e, materialise(nearest_segment(h, e, 200.0, "id", "edge_id")))
 
 
 @query()
