@@ -172,7 +172,8 @@ def right_neighbours(edges: DataFrame, reach: float = CONFIG.right_ray, least: f
     rays = rays.withColumns({"minx": F.least("rx1", "rx2"), "miny": F.least("ry1", "ry2"), "maxx": F.greatest("rx1", "rx2"), "maxy": F.greatest("ry1", "ry2")})
     lines = edges.select("edge_id", "u", "v", "key", *LINE, F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
     ray, line, own = [F.col(f"l_r{c}") for c in LINE], [F.col(f"r_{c}") for c in LINE], [F.col(f"l_{c}") for c in LINE]
-    hits = box_join(rays, lines, reach, segments_cross(ray, line)).where("l_edge_id <> r_edge_id")
+    # A ray is long and thin: cells much smaller than its reach leave few lines to test.
+    hits = box_join(rays, lines, min(reach / 4, 200.0), segments_cross(ray, line)).where("l_edge_id <> r_edge_id")
     gap = F.sqrt(segment_distance_squared(F.col("l_cx"), F.col("l_cy"), *line))
     far = gap >= least if inclusive else gap > least
     slope = lambda p: bearing(p[2] - p[0], p[3] - p[1])
@@ -264,26 +265,75 @@ def distance_to_last_intersection(edges: DataFrame, nodes: DataFrame, mark: str
 def continuity(edges: DataFrame, most: float = CONFIG.continuity_length, angle: float = CONFIG.continuity_angle) -> DataFrame:
     """Length of what an edge reaches over its pointers with turns below ``angle``, up to ``most``, by ``most``.
 
-    The frontier moves one edge a round; an edge that has enough stops, so
-    rounds are bounded by ``most`` and the length of edges.
+    An edge leads ahead to its next segment, and back to the previous segment
+    where that one leads straight to it. A way back therefore always undoes a
+    way ahead, and edges linked in both directions form paths and rings, of
+    which all is reached from any part. Sums along them are found by doubled
+    pointers that rest once they hold ``most``. A path whose last edge leads
+    into the side of another path reaches that one too, and what it reaches.
     """
-    straight = F.abs("forward_angle") < angle
-    at = edges.select(F.struct("u", "v", "key").alias("at"), F.col("edge_id").alias("to"))
-    ahead = edges.where(straight & F.col("next_segment").isNotNull()).select("edge_id", F.col("next_segment").alias("at")).join(at, "at").select("edge_id", "to")
-    before = edges.where("previous_segment is not null").select("edge_id", F.col("previous_segment").alias("at")).join(edges.where(straight).select(F.struct("u", "v", "key").alias("at"), F.col("edge_id").alias("to")), "at").select("edge_id", "to")
-    links = materialise(ahead.unionByName(before).distinct())
-    size = edges.select(F.col("edge_id").alias("to"), "length")
-    seen = materialise(size.select(F.col("to").alias("start"), "to", "length"))
-    frontier = seen
+    edges = materialise(edges.select("edge_id", "u", "v", "key", "length", "next_segment", "previous_segment", "forward_angle"))  # read five times
+    at = edges.select(F.struct("u", "v", "key").alias("at"), F.col("edge_id").alias("ahead"))
+    straight = edges.where(F.abs("forward_angle") < angle)
+    ahead = straight.where("next_segment is not null").select("edge_id", F.col("next_segment").alias("at")).join(at, "at").select("edge_id", "ahead")
+    before = edges.where("previous_segment is not null").select(F.col("edge_id").alias("ahead"), F.col("previous_segment").alias("at"))
+    before = before.join(straight.select(F.struct("u", "v", "key").alias("at"), F.col("edge_id").alias("back")), "at").select("ahead", "back")
+    ways = materialise(ahead.join(before, "ahead", "left").select("edge_id", "ahead", (F.col("edge_id") == F.col("back")).alias("mutual")))
+    size = edges.select("edge_id", "length")
+    mutual = ways.where("mutual").select("edge_id", "ahead")
+    forward = _saturated_walk(size, mutual.select("edge_id", F.col("ahead").alias("to")), most)
+    backward = _saturated_walk(size, mutual.select(F.col("ahead").alias("edge_id"), F.col("edge_id").alias("to")), most)
+    # A ring's least edge is met again from the edge after it; all of a ring have that edge as the least on their walk.
+    after = mutual.join(forward.select(F.col("edge_id").alias("ahead"), "low", "low_at"), "ahead").where("low = edge_id")
+    rings = after.join(size, "edge_id").select(F.col("edge_id").alias("low"), (F.col("low_at") + F.col("length")).alias("ring"))
+    both = forward.join(backward.select("edge_id", F.col("sum").alias("behind")), "edge_id").join(size, "edge_id").join(rings, "low", "left")
+    total = F.coalesce("ring", F.col("sum") + F.col("behind") - F.col("length"))
+    paths = materialise(both.select("edge_id", F.when(F.col("ring").isNull(), F.col("end")).alias("end"), F.least(total, F.lit(most)).alias("total")))
+    # Paths that end at the side of another: the walk goes on from path to path.
+    side = ways.where("not coalesce(mutual, false)").select(F.col("edge_id").alias("end"), F.col("ahead").alias("edge_id"))
+    onto = materialise(side.join(paths, "edge_id").select(side["end"].alias("from_end"), paths["end"].alias("to_end"), F.col("total").alias("more"), F.coalesce(paths["end"], -F.col("edge_id") - 1).alias("path")))
+    walk = materialise(onto.select(F.col("from_end").alias("end"), F.when(F.col("from_end") == F.col("path"), 0.0).otherwise(F.col("more")).alias("sum"), F.col("to_end").alias("here"), F.array("from_end", "path").alias("seen"), (F.col("from_end") == F.col("path")).alias("done")))
+    kept = []
     while True:
-        enough = seen.groupBy("start").agg(F.sum("length").alias("s")).where(F.col("s") >= most).select("start")
-        new = frontier.join(enough, "start", "left_anti").select("start", F.col("to").alias("edge_id")).join(links, "edge_id").select("start", "to").distinct()
-        frontier = materialise(new.join(seen.select("start", "to"), ["start", "to"], "left_anti").join(size, "to").select("start", "to", "length"))
-        if frontier.isEmpty():
+        open_ = ~F.col("done") & (F.col("sum") < most) & F.col("here").isNotNull()
+        kept.append(walk.where(~open_).select("end", "sum"))
+        rest = walk.where(open_)
+        if rest.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier))
-    total = seen.groupBy(F.col("start").alias("edge_id")).agg(F.sum("length").alias("s"))
-    return total.select("edge_id", (F.least("s", F.lit(most)) / most).alias("continuity"))
+        step = rest.join(onto.withColumnRenamed("from_end", "here_"), F.col("here") == F.col("here_"), "left")
+        new = F.col("path").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("path")), F.lit(False))
+        walk = materialise(step.select("end", F.when(new, F.col("sum") + F.col("more")).otherwise(F.col("sum")).alias("sum"), F.col("to_end").alias("here"), F.when(new, F.array_append("seen", F.col("path"))).otherwise(F.col("seen")).alias("seen"), (~new).alias("done")))
+    further = kept[0]
+    for part in kept[1:]:
+        further = further.unionByName(part)
+    whole = paths.join(further, "end", "left").select("edge_id", F.least(F.col("total") + F.coalesce("sum", F.lit(0.0)), F.lit(most)).alias("s"))
+    return whole.select("edge_id", (F.col("s") / most).alias("continuity"))
+
+
+def _saturated_walk(size: DataFrame, links: DataFrame, most: float, most_rounds: int = 60) -> DataFrame:
+    """Sums of ``length`` along one-way pointers: ``edge_id, sum, end, low, low_at``.
+
+    Doubled pointers; a walk rests when its sum is ``most`` or more, so that
+    few rounds are needed however long a road is. ``end`` is the last edge of
+    a walk that came to an end (null of one that rests), ``low`` the least edge
+    that it met and ``low_at`` the sum before that edge.
+    """
+    begin = F.col("edge_id")
+    walk = materialise(size.join(links, "edge_id", "left").select("edge_id", F.col("length").alias("sum"), F.when(F.col("length") < most, F.col("to")).alias("to"), F.when(F.col("to").isNull(), begin).alias("end"), begin.alias("low"), F.lit(0.0).alias("low_at")))
+    for _ in range(most_rounds):
+        moving = walk.where("to is not null")
+        if moving.isEmpty():
+            return walk
+        step = walk.select(F.col("edge_id").alias("to"), F.col("sum").alias("b_sum"), F.col("to").alias("b_to"), F.col("end").alias("b_end"), F.col("low").alias("b_low"), F.col("low_at").alias("b_at"))
+        total, lower = F.col("sum") + F.col("b_sum"), F.col("b_low") < F.col("low")
+        moved = moving.join(step, "to").select(
+            "edge_id", total.alias("sum"), F.when(total < most, F.col("b_to")).alias("to"), F.col("b_end").alias("end"),
+            F.least("low", "b_low").alias("low"), F.when(lower, F.col("sum") + F.col("b_at")).otherwise(F.col("low_at")).alias("low_at"),
+        )
+        new = materialise(walk.where("to is null").unionByName(moved))
+        release(walk)
+        walk = new
+    raise RuntimeError(f"walks did not come to rest in {most_rounds} rounds")
 
 
 def stretch_linearity(edges: DataFrame, most: float = CONFIG.stretch_length, angle: float = CONFIG.stretch_angle) -> DataFrame:
