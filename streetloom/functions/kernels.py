@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,49 +47,123 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float, float]:
 
 
 def least_circle(points: np.ndarray) -> float:
-    """Radius of the least enclosing circle (points are added one by one; those outside lie on the new circle)."""
-    pts = hull(points)
-    if not len(pts):
-        return 0.0
-    pts = pts[np.random.default_rng(0).permutation(len(pts))]
-
-    def of_two(a, b):
-        c = (a + b) / 2
-        return c, float(np.hypot(*(a - c)))
-
-    def of_three(a, b, c):
-        m = 2 * np.array([b - a, c - a])
-        if abs(np.linalg.det(m)) < 1e-12:
-            return max((of_two(p, q) for p, q in ((a, b), (a, c), (b, c))), key=lambda x: x[1])
-        centre = np.linalg.solve(m, [(b @ b) - (a @ a), (c @ c) - (a @ a)])
-        return centre, float(np.hypot(*(a - centre)))
-
-    outside = lambda p, circle: np.hypot(*(p - circle[0])) > circle[1] * (1 + 1e-12) + 1e-12
-    circle = (pts[0], 0.0)
-    for i, p in enumerate(pts):
-        if outside(p, circle):
-            circle = (p, 0.0)
-            for j, q in enumerate(pts[:i]):
-                if outside(q, circle):
-                    circle = of_two(p, q)
-                    for r in pts[:j]:
-                        if outside(r, circle):
-                            circle = of_three(p, q, r)
-    return circle[1]
-
-
-def _points(polygon) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in polygon[0]], float).reshape(-1, 2)
+    """Radius of the least enclosing circle."""
+    return float(least_circles(np.asarray(points, float)[None])[0]) if len(points) else 0.0
+
+
+_CHUNK = 1 << 20  # numbers in a temporary array
+
+
+def _of_three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of the circles through three points, row by row; an infinite radius if they lie on a line."""
+    u, v = b - a, c - a
+    den = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    flat = np.abs(den) <= 1e-12 * np.maximum(uu, vv)
+    den = np.where(flat, 1.0, den)
+    rel = np.stack([(v[:, 1] * uu - u[:, 1] * vv) / den, (u[:, 0] * vv - v[:, 0] * uu) / den], 1)
+    return a + rel, np.where(flat, np.inf, np.hypot(rel[:, 0], rel[:, 1]))
+
+
+def least_circles(points: np.ndarray) -> np.ndarray:
+    """Radii of the least enclosing circles of sets of equally many points, ``(sets, points, 2)``.
+
+    A circle rests on up to three points. The point furthest outside goes into
+    the next one, the least that holds it and those three; radii only grow.
+    """
+    rest = np.repeat(points[:, :1], 3, axis=1)
+    centre, radius = points[:, 0].copy(), np.zeros(len(points))
+    todo = np.arange(len(points))
+    while len(todo):
+        p = points[todo]
+        away = np.hypot(*np.moveaxis(p - centre[todo, None], 2, 0))
+        far = away.argmax(1)
+        out = away[np.arange(len(todo)), far] > radius[todo] * (1 + 1e-12) + 1e-12
+        todo, far = todo[out], far[out]
+        if not len(todo):
+            break
+        new, old = points[todo, far], rest[todo]
+        four = np.concatenate([old, new[:, None]], 1)
+        best, best_at, best_rest = np.full(len(todo), np.inf), new.copy(), np.repeat(new[:, None], 3, axis=1)
+        for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)):
+            if i == j:
+                at = (old[:, i] + new) / 2
+                size = np.hypot(*(old[:, i] - at).T)
+            else:
+                at, size = _of_three(new, old[:, i], old[:, j])
+            held = (np.hypot(*np.moveaxis(four - at[:, None], 2, 0)) <= size[:, None] * (1 + 1e-9) + 1e-9).all(1)
+            better = held & (size < best)
+            best[better], best_at[better] = size[better], at[better]
+            best_rest[better] = np.stack([new, old[:, i], old[:, j]], 1)[better]
+        grown = np.isfinite(best) & (best > radius[todo])
+        todo = todo[grown]
+        centre[todo], radius[todo], rest[todo] = best_at[grown], best[grown], best_rest[grown]
+    return radius
+
+
+def least_rectangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Long sides, short sides and directions of the least rectangles around sets of equally many points.
+
+    A least rectangle lies along a side of the hull, so along a line through
+    two of the points; every such direction is tried.
+    """
+    n = points.shape[1]
+    i, j = np.triu_indices(n, 1)
+    side = points[:, j] - points[:, i]
+    size = np.hypot(side[..., 0], side[..., 1])
+    none = size == 0
+    unit = side / np.where(none, 1.0, size)[..., None]
+    along = np.einsum("mpc,mkc->mpk", unit, points)
+    across = np.einsum("mpc,mkc->mpk", np.stack([-unit[..., 1], unit[..., 0]], -1), points)
+    w, b = np.ptp(along, axis=2), np.ptp(across, axis=2)
+    k = np.where(none, np.inf, w * b).argmin(1)
+    rows = np.arange(len(points))
+    w, b, d = w[rows, k], b[rows, k], unit[rows, k]
+    turn = np.degrees(np.arctan2(d[:, 1], d[:, 0])) + np.where(w >= b, 0, 90)
+    return np.maximum(w, b), np.minimum(w, b), turn % 180
 
 
 _FRAME = T.StructType([T.StructField(n, T.DoubleType()) for n in ("long_side", "short_side", "direction", "radius")])
+_MANY_CORNERS = 16  # beyond that the hull is found first, ring by ring
+
+
+def frames(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Long side, short side, direction and radius for rings given by flat coordinates; ring ``k`` is ``first[k]:first[k + 1]``.
+
+    Rings of equally many corners go through numpy together. NaN for a ring without points.
+    """
+    out, size = np.full((len(first) - 1, 4), np.nan), np.diff(first)
+    xy = np.stack([x, y], 1)
+    for n in np.unique(size[size > 0]):
+        which = np.flatnonzero(size == n)
+        if n > _MANY_CORNERS:
+            for k in which:
+                h = hull(xy[first[k] : first[k + 1]])
+                out[k] = (*least_rectangle(h), least_circles(h[None])[0])
+            continue
+        step = max(1, _CHUNK // int(n * n * n))
+        for part in (which[a : a + step] for a in range(0, len(which), step)):
+            points = xy[first[part][:, None] + np.arange(n)]
+            if n == 1:
+                out[part] = 0.0
+            else:
+                out[part, :3] = np.stack(least_rectangles(points), 1)
+                out[part, 3] = least_circles(points)
+    return out
 
 
-@F.pandas_udf(_FRAME)
-def frame_of(polygons: pd.Series) -> pd.DataFrame:
-    """Least rectangle and least circle around each polygon; null for a null or empty one."""
-    rows = [(*least_rectangle(p), least_circle(p)) if len(p) else (None,) * 4 for p in (_points(g) if g is not None and len(g) else np.empty((0, 2)) for g in polygons)]
-    return pd.DataFrame(rows, columns=["long_side", "short_side", "direction", "radius"])
+@F.arrow_udf(_FRAME)
+def frame_of(rings: pa.Array) -> pa.Array:
+    """Least rectangle and least circle around each ring; null for a null or empty one."""
+    rings = rings.combine_chunks() if isinstance(rings, pa.ChunkedArray) else rings
+    points = rings.flatten()
+    size = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(size)])
+    x, y = (points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in (0, 1))
+    found = frames(x, y, first)
+    empty = pa.array(size == 0)
+    names = [f.name for f in _FRAME.fields]
+    return pa.StructArray.from_arrays([pc.if_else(empty, pa.scalar(None, pa.float64()), pa.array(found[:, c])) for c in range(4)], names)
 
 
 # --- rings --------------------------------------------------------------------
@@ -161,6 +236,16 @@ def filled_and_net_area(rings: list[Ring]) -> tuple[float, float]:
     return sum(a for a in areas if a > 0), sum(areas)
 
 
+@F.arrow_udf(T.DoubleType())
+def filled_area(groups: pa.Array) -> pa.Array:
+    """Area with its courtyards of the union of each row's closed rings, ``array<array<struct<x, y>>>``."""
+    out = []
+    for g in groups:
+        rings = [[(p["x"], p["y"]) for p in r] for r in g.as_py() or ()]
+        out.append(filled_and_net_area(rings)[0] if rings else None)
+    return pa.array(out, pa.float64())
+
+
 def faces(segments: list[tuple]) -> list[Ring]:
     """Bounded faces of a set of segments that meet only at their ends, anticlockwise; dangling ends are pruned first."""
     near: dict[tuple, set] = {}
