@@ -16,6 +16,7 @@ from streetloom.functions import kernels
 from streetloom.functions.scalars import clip
 from streetloom.graph.components import connected_components
 from streetloom.operators.spatial import box_join, nearest_neighbours, radius_join
+from streetloom.plans.shared import materialise
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -26,7 +27,14 @@ def measured(df: DataFrame) -> DataFrame:
 
 def framed(df: DataFrame) -> DataFrame:
     """With shape indices from the least rectangle and circle around a polygon. ``df`` needs ``area, perimeter``."""
-    f = df.withColumn("__f", kernels.frame_of("geom"))
+    ring = F.get("geom", F.lit(0))
+    corner = [F.get(ring, F.lit(i)) for i in range(3)]
+    # A rectangle is its own frame; only other shapes go to Python, in their place a null.
+    sides = [F.struct(g.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("size"), F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"])).alias("turn")) for a, b in zip(corner, corner[1:], strict=False)]
+    long_side, short_side = F.greatest(*sides), F.least(*sides)
+    own = F.struct(long_side["size"].alias("long_side"), short_side["size"].alias("short_side"), long_side["turn"].alias("direction"), (g.hypot(long_side["size"], short_side["size"]) / 2).alias("radius"))
+    marked = df.withColumn("__own", F.when(g.is_rectangle(F.col("geom")), own))
+    f = marked.withColumn("__f", F.coalesce("__own", kernels.frame_of(F.when(F.col("__own").isNull(), ring)))).drop("__own")
     long_, short, turn, radius = (F.col(f"__f.{c}") for c in ("long_side", "short_side", "direction", "radius"))
     box = long_ * short
     deviation = F.pmod(turn, F.lit(90.0))
@@ -51,11 +59,14 @@ def form_factor(area: Column, perimeter: Column, height: Column) -> Column:
     return F.try_divide(perimeter * height + area, F.pow(area * height, F.lit(2 / 3)))
 
 
+def _sides_of(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+
+
 def walls(df: DataFrame) -> DataFrame:
     """A row for each side of the outer ring: ``id, x1, y1, x2, y2`` and its box."""
-    ring = F.get("geom", F.lit(0))
-    sides = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    out = df.select("id", F.inline(sides))
+    out = df.select("id", F.inline(_sides_of(F.get("geom", F.lit(0)))))
     return out.withColumns({"minx": F.least("x1", "x2"), "miny": F.least("y1", "y2"), "maxx": F.greatest("x1", "x2"), "maxy": F.greatest("y1", "y2")})
 
 
@@ -76,29 +87,43 @@ def shared_walls(df: DataFrame, cell: float = 50.0) -> DataFrame:
 
 
 def touching(df: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Pairs ``a < b`` of buildings with a common point of their walls (of polygons that do not overlap: that touch)."""
-    side = walls(df)
-    ends = [F.col(f"{p}_{c}") for p in "lr" for c in ("x1", "y1", "x2", "y2")]
-    meet = g.segment_gap(ends[:4], ends[4:]) == 0
-    pairs = box_join(side, side, cell, (F.col("l_id") < F.col("r_id")) & meet)
-    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
+    """Pairs ``a < b`` of buildings with a common point of their walls (of polygons that do not overlap: that touch).
+
+    Boxes are joined first; walls are compared only where boxes meet.
+    """
+    slim = df.select("id", "minx", "miny", "maxx", "maxy", _sides_of(F.get("geom", F.lit(0))).alias("sides"))
+    pairs = box_join(slim, slim, cell, F.col("l_id") < F.col("r_id"))
+    one = pairs.select("l_id", "r_id", "r_sides", F.inline("l_sides").alias("a1", "b1", "a2", "b2"))
+    both = one.select("l_id", "r_id", "a1", "b1", "a2", "b2", F.inline("r_sides"))
+    meet = g.segment_gap([F.col(c) for c in ("a1", "b1", "a2", "b2")], [F.col(c) for c in ("x1", "y1", "x2", "y2")]) == 0
+    return both.where(meet).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
 
 
-def building_groups(df: DataFrame) -> DataFrame:
-    """``id, building_group_id``: components of touching buildings, named by the least id."""
-    found = connected_components(touching(df), "a", "b").withColumnsRenamed({"node": "id", "component": "g"})
+def building_groups(df: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``id, building_group_id``: components of touching buildings (``pairs``, if known), named by the least id."""
+    found = connected_components(touching(df) if pairs is None else pairs, "a", "b").withColumnsRenamed({"node": "id", "component": "g"})
     return df.select("id").join(found, "id", "left").select("id", F.coalesce("g", "id").alias("building_group_id"))
 
 
-def group_courtyards(df: DataFrame) -> DataFrame:
-    """``building_group_id, building_group_area, building_group_courtyard_index``: courtyard area by the group's own, within [0, 1]."""
+def group_courtyards(df: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``building_group_id, building_group_area, building_group_courtyard_index``: courtyard area by the group's own, within [0, 1].
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        full, net = kernels.filled_and_net_area([kernels.ring_of(p) for p in pdf["geom"]])
-        return pd.DataFrame([(key[0], net, (full - net) / net if net else None)], columns=["building_group_id", "building_group_area", "c"])
-
-    found = df.select("building_group_id", "geom").groupBy("building_group_id").applyInPandas(one, "building_group_id long, building_group_area double, c double")
-    return found.select("building_group_id", "building_group_area", clip(F.col("c"), 0.0, 1.0).alias("building_group_courtyard_index"))
+    A building's own holes are courtyards. Rectangles that touch in a tree
+    (one pair of touching ones less than there are) close in nothing between
+    them, so the union is built only of groups with a circle, or with other
+    shapes. ``pairs``: touching buildings, if known.
+    """
+    pairs = touching(df) if pairs is None else pairs
+    own = df.select("id", "building_group_id", F.get("geom", F.lit(0)).alias("ring"), g.area(F.col("geom")).alias("net"), g.is_rectangle(F.col("geom")).alias("box"))
+    links = pairs.join(own.select(F.col("id").alias("a"), "building_group_id"), "a").groupBy("building_group_id").agg(F.count("*").alias("links"))
+    sums = own.groupBy("building_group_id").agg(F.count("*").alias("n"), F.sum("net").alias("net"), F.sum(g.ring_area(F.col("ring"))).alias("outer"), F.min("box").alias("boxes"))
+    sums = materialise(sums.join(links, "building_group_id", "left").fillna(0, ["links"]))
+    plain = (F.col("n") == 1) | (F.col("boxes") & (F.col("links") == F.col("n") - 1))
+    rings = own.join(sums.where(~plain).select("building_group_id"), "building_group_id", "left_semi").groupBy("building_group_id").agg(F.collect_list("ring").alias("rings"))
+    built = sums.where(~plain).join(rings, "building_group_id").withColumn("outer", kernels.filled_area("rings")).drop("rings")
+    found = sums.where(plain).unionByName(built)
+    yard = clip(F.try_divide(F.col("outer") - F.col("net"), F.col("net")), 0.0, 1.0)
+    return found.select("building_group_id", F.col("net").alias("building_group_area"), yard.alias("building_group_courtyard_index"))
 
 
 def largest_enclosure(df: DataFrame, enclosures: DataFrame, cell: float = 200.0) -> DataFrame:
