@@ -67,10 +67,11 @@ def shared_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_ctes(["buildings"], f""", {_TOUCH}, reach(id, to_) AS (SELECT id, id FROM buildings UNION SELECT r.id, t.b FROM reach r JOIN touch t ON t.a = r.to_), groups_ AS (SELECT id, min(to_) AS building_group_id FROM reach GROUP BY id)
   SELECT building_group_id, {sql6('sum(area)', 'building_group_area')}, {sql6('0', 'building_group_courtyard_index')}, {sql6('stddev_samp(area)', 'building_group_area_std')} FROM groups_ JOIN buildings USING (id) GROUP BY building_group_id""", recursive=True))
 def group_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = houses(spark, sf_dir)
-    grouped = h.join(b.building_groups(h), "id")
+    h = materialise(houses(spark, sf_dir).select("id", "area", "geom", "minx", "miny", "maxx", "maxy"))
+    pairs = materialise(b.touching(h))
+    grouped = materialise(h.join(b.building_groups(h, pairs), "id"))
     spread = grouped.groupBy("building_group_id").agg(F.stddev_samp("area").alias("s"))
-    found = b.group_courtyards(grouped).join(spread, "building_group_id")
+    found = b.group_courtyards(grouped, pairs).join(spread, "building_group_id")
     return found.select("building_group_id", r6("building_group_area", "building_group_area"), r6("building_group_courtyard_index", "building_group_courtyard_index"), r6("s", "building_group_area_std"))
 
 
@@ -279,7 +280,7 @@ def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def building_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = b.framed(houses(spark, sf_dir))
+    h = materialise(b.framed(houses(spark, sf_dir)).select("id", "class", "area", "elongation", "ghsl_height", "real_levels"))  # read in each pass of the forest
     model, accuracy, weights = learning.train_classifier(h, "class", ["area", "elongation", "ghsl_height"], ["real_levels"], ["stadium"])
     rows = [("accuracy", accuracy), *sorted(weights.items())]
     return spark.createDataFrame(rows, "name string, value double")
