@@ -166,6 +166,47 @@ def frame_of(rings: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pc.if_else(empty, pa.scalar(None, pa.float64()), pa.array(found[:, c])) for c in range(4)], names)
 
 
+# --- nearest boxes -----------------------------------------------------------
+
+_BLOCK = 8  # samples along a block that shares its candidates
+
+
+def nearest_boxes(xs: np.ndarray, ys: np.ndarray, ids: np.ndarray, boxes: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids, and how many of the samples ``xs x ys`` have them nearest (of equal ones the least id); None if a sample has none ``within``.
+
+    A block of samples tests only boxes that may be nearest to one of them:
+    none nearer to the block than every other box's furthest corner allows.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, boxes = ids[order], boxes[order]
+    won = np.zeros(len(ids), np.int64)
+    x_parts, y_parts = ([v[a : a + _BLOCK] for a in range(0, len(v), _BLOCK)] for v in (xs, ys))
+    bx, by = (np.array([(p[0], p[-1]) for p in parts]) for parts in (x_parts, y_parts))
+
+    def bounds(block: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance in one direction between samples of a block and a box."""
+        near = np.maximum(0, np.maximum(low[None] - block[:, 1:], block[:, :1] - high[None]))
+        far = np.maximum(0, np.maximum(low[None] - block[:, :1], block[:, 1:] - high[None]))
+        return near**2, far**2
+
+    (nx, fx), (ny, fy) = bounds(bx, boxes[:, 0], boxes[:, 2]), bounds(by, boxes[:, 1], boxes[:, 3])
+    for i, px in enumerate(x_parts):
+        near, far = nx[i][None] + ny, fx[i][None] + fy
+        keep = near <= far.min(1, keepdims=True) * (1 + 1e-9)
+        for j, py in enumerate(y_parts):
+            some = np.flatnonzero(keep[j])
+            b = boxes[some]
+            dx = np.maximum(0, np.maximum(b[:, 0] - px[:, None], px[:, None] - b[:, 2])) ** 2
+            dy = np.maximum(0, np.maximum(b[:, 1] - py[:, None], py[:, None] - b[:, 3])) ** 2
+            d = dx[:, None] + dy[None]
+            best = d.argmin(2)
+            if np.take_along_axis(d, best[..., None], 2).max() > within * within:
+                return None
+            won += np.bincount(some[best.ravel()], minlength=len(ids))
+    hit = won > 0
+    return ids[hit], won[hit]
+
+
 # --- rings --------------------------------------------------------------------
 
 

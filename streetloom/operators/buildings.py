@@ -6,7 +6,9 @@ polygon, or one group of touching buildings, at a time.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,15 +225,69 @@ def tessellation_areas(df: DataFrame, enclosures: DataFrame, step: float = 2.0)
     to the building whose box is nearest (of equal ones the least id); a
     building that wins none has area 0.
     Buildings of under 10 square metres take part in nothing.
+
+    An enclosure is cut into tiles of 64 x 64 samples. A tile looks at the
+    buildings within its own width, and only if a sample of it has none so
+    near does the tile go on to look four times as far, so neither a large
+    enclosure nor a crowded one is a single task.
     """
-    nx, ny = (F.floor((F.col(f"max{c}") - F.col(f"min{c}")) / step).cast("int") for c in "xy")
-    samples = enclosures.select("enclosure_id", "minx", "miny", F.explode(F.sequence(F.lit(0), nx - 1)).alias("i"), ny.alias("ny"))
-    samples = samples.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
-    samples = samples.select("enclosure_id", "i", "j", (F.col("minx") + (F.col("i") + 0.5) * step).alias("sx"), (F.col("miny") + (F.col("j") + 0.5) * step).alias("sy"))
+    wide = _TILE * step
     houses = df.where(F.col("area") >= CONFIG.tessellation_min_area).select("enclosure_id", "id", "minx", "miny", "maxx", "maxy")
-    dx = F.greatest(F.lit(0.0), F.col("minx") - F.col("sx"), F.col("sx") - F.col("maxx"))
-    dy = F.greatest(F.lit(0.0), F.col("miny") - F.col("sy"), F.col("sy") - F.col("maxy"))
-    nearest = samples.join(houses, "enclosure_id").groupBy("enclosure_id", "i", "j").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "id"))["id"].alias("id"))
-    won = nearest.groupBy("enclosure_id", "id").agg((F.count("*") * F.lit(step * step)).alias("area"))
-    return houses.select("enclosure_id", "id").join(won, ["enclosure_id", "id"], "left").select("enclosure_id", "id", F.coalesce("area", F.lit(0.0)).alias("area"))
-
+    nx, ny = (F.greatest(F.floor((F.col(f"max{c}") - F.col(f"min{c}")) / step).cast("int"), F.lit(0)) for c in "xy")
+    reach = g.hypot(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    inhabited = enclosures.join(houses.select("enclosure_id"), "enclosure_id", "left_semi")
+    frames = materialise(inhabited.select("enclosure_id", F.col("minx").alias("x0"), F.col("miny").alias("y0"), nx.alias("nx"), ny.alias("ny"), reach.alias("reach")).where("nx > 0 and ny > 0"))
+    along = lambda n: F.sequence(F.lit(0), F.expr(f"({n} - 1) div {_TILE}").cast("int"))
+    tiles = frames.withColumn("ti", F.explode(along("nx"))).withColumn("tj", F.explode(along("ny")))
+    placed = materialise(houses.join(frames, "enclosure_id"))
+    radius, most, won = wide, frames.agg(F.max("reach")).first()[0], None
+    while most is not None:
+        low, high = (lambda c: F.floor((F.col(f"min{c}") - radius - F.col(f"{c}0")) / wide)), (lambda c: F.floor((F.col(f"max{c}") + radius - F.col(f"{c}0")) / wide))
+        last = lambda c: F.expr(f"(n{c} - 1) div {_TILE}").cast("int")
+        span = lambda c: F.sequence(*(F.least(F.greatest(v.cast("int"), F.lit(0)), last(c)) for v in (low(c), high(c))))
+        near = placed.withColumn("ti", F.explode(span("x"))).withColumn("tj", F.explode(span("y")))
+        near = near.groupBy("enclosure_id", "ti", "tj").agg(F.collect_list(F.struct("id", "minx", "miny", "maxx", "maxy")).alias("houses"))
+        done = tiles.join(near, ["enclosure_id", "ti", "tj"]).mapInArrow(_tile_kernel(step, radius), "enclosure_id long, ti int, tj int, id long, n long")
+        done = materialise(done)
+        won = done if won is None else won.unionByName(done)
+        if radius > most:
+            break
+        tiles = materialise(tiles.join(done, ["enclosure_id", "ti", "tj"], "left_anti"))
+        if tiles.isEmpty():
+            break
+        radius *= 4
+        placed = placed.join(tiles.select("enclosure_id"), "enclosure_id", "left_semi")
+    out = houses.select("enclosure_id", "id")
+    if won is None:
+        return out.withColumn("area", F.lit(0.0))
+    total = won.groupBy("enclosure_id", "id").agg((F.sum("n") * F.lit(step * step)).alias("area"))
+    return out.join(total, ["enclosure_id", "id"], "left").select("enclosure_id", "id", F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
+_TILE = 64  # samples along a tile
+
+
+def _tile_kernel(step: float, radius: float):
+    """Rows of tiles with their houses in; the samples that each house wins out. Tiles with a sample beyond ``radius`` of all are left out."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("enclosure_id", "x0", "y0", "nx", "ny", "ti", "tj")}
+            lists = batch.column("houses")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            at = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("id", "minx", "miny", "maxx", "maxy")}
+            for r in range(batch.num_rows):
+                here = slice(ends[r], ends[r + 1])
+                i0, j0 = int(cols["ti"][r]) * _TILE, int(cols["tj"][r]) * _TILE
+                xs = cols["x0"][r] + (np.arange(i0, min(i0 + _TILE, int(cols["nx"][r]))) + 0.5) * step
+                ys = cols["y0"][r] + (np.arange(j0, min(j0 + _TILE, int(cols["ny"][r]))) + 0.5) * step
+                found = kernels.nearest_boxes(xs, ys, at["id"][here], np.stack([at[n][here] for n in ("minx", "miny", "maxx", "maxy")], 1), radius)
+                if found is None:
+                    continue
+                for k, v in zip(out, (np.full(len(found[0]), cols["enclosure_id"][r]), np.full(len(found[0]), cols["ti"][r]), np.full(len(found[0]), cols["tj"][r]), *found), strict=True):
+                    k.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["enclosure_id", "ti", "tj", "id", "n"])
+
+    return run
