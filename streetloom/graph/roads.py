@@ -377,33 +377,47 @@ def stretch_linearity(edges: DataFrame, most: float = CONFIG.stretch_length, ang
     return done.select(F.col("id").alias("edge_id"), value.alias("stretch_linearity"), (1 - value).alias("stretch_curvilinearity"))
 
 
-def edge_neighbourhood(edges: DataFrame, steps: int, lower: bool = False, higher: bool = False, both: bool = False, starts: DataFrame | None = None) -> DataFrame:
+def edge_neighbourhood(edges: DataFrame, steps: int, lower: bool = False, higher: bool = False, both: bool = False, starts: DataFrame | None = None, group: str = "edge_id") -> DataFrame:
     """Edges reached from each start in at most ``steps``: ``start, edge_id, step``.
 
     ``edges`` need ``edge_class``. A start and its inverse are at step 0; each
     step goes to the out-edges (``both``: all edges) of both ends. Edges of a
     lower or higher class than the start's are passed over unless allowed.
+    ``group`` names a column whose equal values start together (such as the
+    section), as one ``start``; edges of different class in it still follow
+    their own class.
+
+    The frontier is one of nodes, of which there are fewer than edges, and each
+    is expanded once; edges are looked up at the end.
     """
-    slim = edges.select("edge_id", "u", "v", "key", "edge_class")
-    out = slim.select(F.col("u").alias("node"), F.col("edge_id").alias("to"), F.col("edge_class").alias("to_class"))
+    slim = edges.select("edge_id", "u", "v", "key", "edge_class", F.col(group).alias("start"))
+    out = slim.select(F.col("u").alias("node"), F.col("edge_id").alias("to"), F.col("edge_class").alias("to_class"), F.array("u", "v").alias("ends"))
     if both:
-        out = out.unionByName(slim.select(F.col("v").alias("node"), F.col("edge_id").alias("to"), F.col("edge_class").alias("to_class"))).distinct()
-    first = (slim if starts is None else slim.join(starts, "edge_id", "left_semi")).select(F.col("edge_id").alias("start"), F.col("edge_class").alias("start_class"), "u", "v", "key")
+        out = out.unionByName(slim.select(F.col("v").alias("node"), F.col("edge_id").alias("to"), F.col("edge_class").alias("to_class"), F.array("u", "v").alias("ends")))
+    first = (slim if starts is None else slim.join(starts, "edge_id", "left_semi")).where("start is not null").withColumnRenamed("edge_class", "start_class")
     inverse = slim.select(F.col("edge_id").alias("inverse"), F.col("u").alias("v"), F.col("v").alias("u"), "key")
-    seed = first.select("start", "start_class", F.col("start").alias("edge_id")).unionByName(first.join(inverse, ["u", "v", "key"]).select("start", "start_class", F.col("inverse").alias("edge_id")))
-    seen = materialise(seed.distinct().withColumn("step", F.lit(0)))
-    frontier = seen
-    ends = slim.select("edge_id", F.array_distinct(F.array("u", "v")).alias("nodes"))
+    seed = first.select("start", "edge_id").unionByName(first.join(inverse, ["u", "v", "key"]).select("start", F.col("inverse").alias("edge_id")))
     allowed = F.lit(True)
     if not lower:
         allowed = allowed & (F.col("to_class") >= F.col("start_class"))
     if not higher:
         allowed = allowed & (F.col("to_class") <= F.col("start_class"))
-    for step in range(1, steps + 1):
-        nodes = frontier.join(ends, "edge_id").select("start", "start_class", F.explode("nodes").alias("node")).distinct()
-        new = nodes.join(out, "node").where(allowed).select("start", "start_class", F.col("to").alias("edge_id")).distinct()
-        frontier = materialise(new.join(seen.select("start", "edge_id"), ["start", "edge_id"], "left_anti").withColumn("step", F.lit(step)))
+
+    def onto(nodes: DataFrame, there: DataFrame) -> DataFrame:
+        if lower or higher:
+            return nodes.join(there, "node").where(allowed)
+        return nodes.join(there.withColumnRenamed("to_class", "start_class"), ["node", "start_class"])
+
+    links = materialise(out.select("node", "to_class", F.explode("ends").alias("next")).where("node <> next").distinct())
+    frontier = materialise(first.select("start", "start_class", F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("level", F.lit(1)))
+    seen, key = frontier, ["start", "start_class", "node"]
+    for level in range(2, steps + 1):
+        new = onto(frontier.drop("level"), links).select("start", "start_class", F.col("next").alias("node")).distinct()
+        frontier = materialise(new.join(seen.select(*key), key, "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.select("start", "edge_id", "step")
+    found = seed.withColumn("step", F.lit(0))
+    if steps > 0:
+        found = found.unionByName(onto(seen, out.drop("ends")).select("start", F.col("to").alias("edge_id"), F.col("level").alias("step")))
+    return found.groupBy("start", "edge_id").agg(F.min("step").alias("step"))

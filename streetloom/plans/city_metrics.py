@@ -121,11 +121,12 @@ def street_context(edges: DataFrame, major: bool = False) -> DataFrame:
         rows = rows.where(scalars.is_major(F.col("type_category")))
     elif "right_neighbour_distance" in rows.columns:
         rows = rows.fillna(300.0, ["right_neighbour_distance"])
-    reached = roads.edge_neighbourhood(rows, CONFIG.major_steps if major else CONFIG.regular_steps, higher=major)
-    near = reached.join(rows.select(F.col("edge_id").alias("start"), F.col(section).alias("focal")), "start").join(rows.select("edge_id", F.col(section).alias("other")), "edge_id")
-    pairs = near.select("focal", "other").where("other is not null").distinct()
-    members = materialise(pairs.join(rows.withColumnRenamed(section, "other"), "other"))  # three aggregates read it
     has = lambda names: [c for c in names if c in rows.columns]
+    reached = roads.edge_neighbourhood(rows, CONFIG.major_steps if major else CONFIG.regular_steps, higher=major, group=section)
+    other = rows.where(F.col(section).isNotNull()).select("edge_id", F.col(section).alias("other"))
+    pairs = reached.join(other, "edge_id").select(F.col("start").alias("focal"), "other").distinct()
+    used = dict.fromkeys([*has(means), *has(weighted), "length", "bearing", *has(["dead_end_section", "continuity"])])
+    members = materialise(pairs.join(rows.select(F.col(section).alias("other"), *used), "other"))  # three aggregates read it
     plain = agg.mean_std(has(means), suffix, ("forward_angle_abs",)) + [agg.weighted_mean(F.col(c), F.col("length")).alias(f"{c}{suffix}weighted_mean") for c in has(weighted)]
     plain.append(agg.cardinal_share(F.col("bearing")).alias("bearing_cardinality" + suffix[:-2]))
     if "dead_end_section" in rows.columns and not major:

@@ -202,7 +202,7 @@ def edge_bfs_5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def street_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from streetloom.plans.city_metrics import street_context as context
 
-    e, n = _pointed(spark, sf_dir), _degrees(spark, sf_dir)
-    e = roads.with_bearing(e.join(roads.sections(e, n), "edge_id"))
+    e, n = materialise(_pointed(spark, sf_dir)), _degrees(spark, sf_dir)
+    e = materialise(roads.with_bearing(e.join(roads.sections(e, n), "edge_id")))
     e = e.join(roads.section_lengths(e, "section_id", "section_length"), "edge_id").join(roads.right_neighbours(e).select("edge_id", "right_neighbour_distance"), "edge_id")
     return context(materialise(e))
