@@ -57,8 +57,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: So many words of repeated sentences or lines in a row are a paragraph.
+RUN_WORDS = 20
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    found = lines.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, pattern=lines.SENTENCES, run_words=RUN_WORDS)
     offsets = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"))), ",")
     return found.select("doc_id", "n_units", "n_removed", offsets.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
@@ -123,15 +127,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(e) + 8 + CASE WHEN role IS DISTINCT FROM before THEN length(role) + 6 ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
 
-_LINES_SQL = r"""WITH docs AS (SELECT doc_id, text FROM documents),
-units AS (SELECT doc_id, text, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_units, unnest(string_split(text, chr(10))) AS unit, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM docs WHERE text IS NOT NULL),
-known AS (SELECT *, translate(trim(regexp_replace(unit, '[\x09-\x0D\x20]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
-  sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS start FROM units),
-ranked AS (SELECT *, k <> '' AND len(string_split(k, ' ')) >= 5 AND row_number() OVER (PARTITION BY k ORDER BY doc_id, place) > 1 AS gone FROM known),
-cut AS (SELECT doc_id, any_value(n_units) AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CASE WHEN gone THEN start || '-' || (start + length(unit)) END, ',' ORDER BY place), '') AS removed,
-  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN unit END, chr(10) ORDER BY place), '')) AS kept_sha256 FROM ranked GROUP BY doc_id)
-SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM docs LEFT JOIN cut USING (doc_id)"""
+# Units end behind U+FDD0, which no text holds.
+_LINES_SQL = r"""WITH docs AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?])([\x09-\x0D\x20])', '\1' || chr(64976) || '\2', 'g'), '([\n\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(64976), 'g'), chr(64976)) AS units FROM documents),
+units AS (SELECT doc_id, unnest(units) AS unit, unnest(range(1, len(units) + 1)) AS place FROM docs WHERE text IS NOT NULL),
+known AS (SELECT *, translate(trim(regexp_replace(unit, '[\x09-\x0D\x20]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place) AS stop FROM units),
+ranked AS (SELECT doc_id, place, stop - length(unit) AS start, stop, len(string_split(k, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, place) > 1 AS again FROM known WHERE k <> ''),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM ranked WHERE again),
+runs AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, min(place) AS a, max(place) AS z FROM islands GROUP BY doc_id, island HAVING sum(words) >= 20),
+cut AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, string_agg(CAST(start AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY start) AS removed, list((a, z)) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(units), 0) AS BIGINT) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+  sha256(CASE WHEN spans IS NULL THEN coalesce(text, '') ELSE array_to_string([units[i] FOR i IN range(1, len(units) + 1) IF len([1 FOR s IN spans IF s[1] <= i AND i <= s[2]]) = 0], '') END) AS kept_sha256
+FROM docs d LEFT JOIN cut USING (doc_id)"""
 
 _URL_SQL = r"""WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 judged AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)
