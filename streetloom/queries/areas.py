@@ -179,15 +179,17 @@ def grid_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.coloured_bands(_grid(spark).withColumn("use", F.when(step == 0, "retail").when(step == 2, "forest")), "use")
 
 
-@query(with_ctes(["enclosures", "buildings"], "SELECT DISTINCT e.enclosure_id AS tile_id FROM enclosures e JOIN buildings a ON a.minx <= e.maxx AND e.minx <= a.maxx AND a.miny <= e.maxy AND e.miny <= a.maxy WHERE a.id % 50 = 0"))
+@query(with_ctes(["enclosures", "buildings"], "SELECT DISTINCT e.enclosure_id AS tile_id FROM enclosures e JOIN buildings a ON a.minx <= e.maxx AND e.minx <= a.maxx AND a.miny <= e.maxy AND e.miny <= a.maxy"))
 def tiles_met(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles_of(buildings(spark, sf_dir), enclosures(spark, sf_dir).withColumnRenamed("enclosure_id", "tile_id"))
 
 
 # --- grid and raster -----------------------------------------------------------
 
-_PLACED = """placed AS (SELECT i, j, b.*, greatest(0, least(maxx, 100 * i + 100) - greatest(minx, 100 * i)) * greatest(0, least(maxy, 100 * j + 100) - greatest(miny, 100 * j)) AS overlap FROM buildings b, generate_series(0, 40) a(i), generate_series(0, 80) c(j)
-  WHERE i BETWEEN floor(minx / 100) AND greatest(floor(minx / 100), ceil(maxx / 100) - 1) AND j BETWEEN floor(miny / 100) AND greatest(floor(miny / 100), ceil(maxy / 100) - 1))"""
+_PLACED = """placed AS (SELECT *, greatest(0, least(maxx, 100 * i + 100) - greatest(minx, 100 * i)) * greatest(0, least(maxy, 100 * j + 100) - greatest(miny, 100 * j)) AS overlap FROM (
+  SELECT *, unnest(generate_series(CAST(floor(miny / 100) AS BIGINT), CAST(greatest(floor(miny / 100), ceil(maxy / 100) - 1) AS BIGINT))) AS j FROM (
+    SELECT *, unnest(generate_series(CAST(floor(minx / 100) AS BIGINT), CAST(greatest(floor(minx / 100), ceil(maxx / 100) - 1) AS BIGINT))) AS i FROM buildings)))"""
+_GROWN = """grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM (SELECT unnest(generate_series(least(0, min(i)), greatest(29, max(i)))) AS i, least(0, min(j)) AS low, greatest(9, max(j)) AS high FROM placed), LATERAL (SELECT unnest(generate_series(low, high)) AS j))"""
 _GRID = "grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM generate_series(0, 29) a(i), generate_series(0, 9) c(j))"
 
 
@@ -200,7 +202,7 @@ def grid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.distance_to(_grid(spark), F.lit(1500), F.lit(400)).select("i", "j", r6("distance_to_city_center", "distance"))
 
 
-@query(with_ctes(["buildings"], f""", {_PLACED}, {_GRID}, modes AS (SELECT i, j, class FROM (SELECT i, j, class, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, class) AS rn FROM placed GROUP BY i, j, class) WHERE rn = 1),
+@query(with_ctes(["buildings"], f""", {_PLACED}, {_GROWN}, modes AS (SELECT i, j, class FROM (SELECT i, j, class, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, class) AS rn FROM placed GROUP BY i, j, class) WHERE rn = 1),
   most AS (SELECT i, j, class FROM (SELECT i, j, class, row_number() OVER (PARTITION BY i, j ORDER BY sum(overlap) DESC, class) AS rn FROM placed GROUP BY i, j, class) WHERE rn = 1)
   SELECT g.i, g.j, any_value(m.class) AS mode_class, any_value(s.class) AS most_class, {sql6('avg(p.ghsl_height)', 'mean_height')}, {sql6('coalesce(sum(p.ghsl_height), 0)', 'sum_height')}, count(p.real_height) AS n
   FROM grid g LEFT JOIN placed p ON p.i = g.i AND p.j = g.j LEFT JOIN modes m ON m.i = g.i AND m.j = g.j LEFT JOIN most s ON s.i = g.i AND s.j = g.j GROUP BY g.i, g.j"""))
