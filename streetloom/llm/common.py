@@ -18,6 +18,14 @@ def columns_of(df: DataFrame, *names: str) -> list[str]:
     return list(names)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _HELD: dict[str, dict] = {}
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from streetloom.graph.components import connected_components
 from streetloom.plans.shared import materialise
 
-from .common import columns_of, held, small
+from .common import columns_of, held, small, unused
 
 SHINGLE = 3
 RADIUS = 2
@@ -285,10 +285,10 @@ def keep_first(
     Where that id has several rows in its class, the text with the least
     XXH64 stays, once. All columns are kept. Rows with a null id stay.
     """
-    tag = F.xxhash64(text_col)
-    tagged = docs.select(id_col, text_col, tag.alias("__tag"))
-    fps = materialise(fingerprints(tagged, id_col, text_col, shingle, keep="__tag"))
+    name, tag = unused(docs, "__tag"), F.xxhash64(text_col)
+    tagged = docs.select(id_col, text_col, tag.alias(name))
+    fps = materialise(fingerprints(tagged, id_col, text_col, shingle, keep=name))
     found = fps.join(_classes(fps, id_col, radius, split_above), "fp").where(f"`{id_col}` = component_id")
-    heads = materialise(found.groupBy(id_col).agg(F.min("__tag").alias("__tag")))
-    once = docs.withColumn("__tag", tag).join(heads, [id_col, "__tag"], "left_semi").dropDuplicates([id_col])
+    heads = materialise(found.groupBy(id_col).agg(F.min(name).alias(name)))
+    once = docs.withColumn(name, tag).join(heads, [id_col, name], "left_semi").dropDuplicates([id_col])
     return once.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

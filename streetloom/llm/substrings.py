@@ -350,12 +350,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts.append(rest.decode("utf-8", "ignore") if text.is_valid else None)
             removed = [sum(r["stop"] - r["start"] for r in c) for c in cuts]
             new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(cuts, shape), pa.array(digests, pa.string())]
-            old = dict(zip(b.schema.names[2:], b.columns[2:], strict=True))
+            row = b.column(2)
+            old = {row.type.field(k).name: row.field(k) for k in range(row.type.num_fields)}
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == text_col else old[c] for c in kept), *new], [*kept, *added])
 
-    left = docs.select(
-        F.col(text_col).alias("__text"), F.col(id_col).alias("__own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__own_tag"),
-        *(c for c in kept if c != text_col),
-    )
-    joined = left.join(spans, left["__own"].eqNullSafe(spans["__id"]) & (left["__own_tag"] == spans["__tag"]), "left")
-    return joined.select("__text", "spans", *(c for c in kept if c != text_col)).mapInArrow(run, schema)
+    # All other columns travel in one struct, so that none of their names can meet those used here.
+    text, row = F.col(f"`{text_col}`"), F.struct(*(F.col(f"`{c}`") for c in kept if c != text_col))
+    left = docs.select(text.alias("text"), F.col(f"`{id_col}`").alias("own"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_tag"), row.alias("row"))
+    joined = left.join(spans, left["own"].eqNullSafe(spans["__id"]) & (left["own_tag"] == spans["__tag"]), "left")
+    return joined.select(left["text"], spans["spans"], left["row"]).mapInArrow(run, schema)

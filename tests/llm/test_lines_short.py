@@ -56,3 +56,13 @@ def test_query_removes_paragraphs_and_keeps_short_lines(spark, tmp_path):
     # Of document 2 the two sentences (with the blanks before them) and the line after them repeat; the run goes on to that line.
     assert got[1] == (5, 0, "") and got[3] == (3, 0, "")
     assert got[2][0] == 5 and got[2][1] == 4 and got[2][2] == f"12-{len(rows[1][1])}"
+
+
+def test_columns_of_other_operators_may_have_any_name(spark):
+    from streetloom.llm import near, simhash, substrings
+
+    clash = ["spans", "row", "own", "own_tag", "tag", "__tag", "__id", "__own", "__text"]
+    docs = spark.createDataFrame([(1, "x y z " * 60, *range(9)), (2, "x y z " * 60, *range(9))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
+    for found in (substrings.remove_repeats(docs), simhash.keep_first(docs), near.keep_first(docs)):
+        assert all([r[c] for c in clash] == list(range(9)) for r in found.collect())
+    assert simhash.keep_first(docs).count() == 1
