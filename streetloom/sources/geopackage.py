@@ -98,7 +98,7 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         (geometry,) = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
         columns = [(r[1], _SQL_TYPES.get(r[2][:3].upper(), "string")) for r in db.execute(f"PRAGMA table_info({quoted})") if r[1] != geometry]
-        (last,) = db.execute(f"SELECT coalesce(max(rowid), 0) FROM {quoted}").fetchone()
+        low, last = db.execute(f"SELECT coalesce(min(rowid), 1), coalesce(max(rowid), 0) FROM {quoted}").fetchone()
     names = ", ".join('"' + c.replace('"', '""') + '"' for c in [geometry, *(c for c, _ in columns)])
     schema = ", ".join([*(f"`{c}` {t}" for c, t in columns), f"geom_type string, geom {POLYGON}"])
 
@@ -115,5 +115,5 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
                 geoms = [None if g is None else [[{"x": x, "y": y} for x, y in ring] for ring in g] for _, g in shapes]
                 yield pa.RecordBatch.from_arrays([*values, pa.array([k for k, _ in shapes], pa.string()), pa.array(geoms, pa.list_(pa.list_(point)))], [*(c for c, _ in columns), "geom_type", "geom"])
 
-    starts = spark.range(0, max(last, 1), rows_per_task)
-    return starts.repartition(max(1, -(-last // rows_per_task))).mapInArrow(run, schema)
+    starts = spark.range(low - 1, max(last, low), rows_per_task)
+    return starts.repartition(max(1, -(-(last - low + 1) // rows_per_task))).mapInArrow(run, schema)
