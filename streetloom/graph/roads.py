@@ -160,25 +160,39 @@ def right_neighbours(edges: DataFrame, reach: float = CONFIG.right_ray, least: f
     The ray turns the edge's direction by +90 degrees and begins ``offset``
     away (for edges longer than that). Edges nearer to the middle than
     ``least`` do not count; of equally near ones the least ``(u, v, key)``.
+
+    Rays look near their middle first, where each is one row. Whatever is found
+    there is nearer than all that lies beyond; only rays that found nothing are
+    laid out over cells along their whole length.
     """
-    span = hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    ux, uy = F.try_divide(F.col("x2") - F.col("x1"), span), F.try_divide(F.col("y2") - F.col("y1"), span)
-    skip = F.when(span > offset, offset).otherwise(0.0)
-    rays = edges.select("edge_id", *LINE, ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), ux.alias("ux"), uy.alias("uy"), skip.alias("skip"))
-    rays = rays.withColumns({
-        "rx1": F.col("cx") - F.col("uy") * F.col("skip"), "ry1": F.col("cy") + F.col("ux") * F.col("skip"),
-        "rx2": F.col("cx") - F.col("uy") * reach, "ry2": F.col("cy") + F.col("ux") * reach,
-    }).drop("ux", "uy", "skip").where("rx2 is not null")
-    rays = rays.withColumns({"minx": F.least("rx1", "rx2"), "miny": F.least("ry1", "ry2"), "maxx": F.greatest("rx1", "rx2"), "maxy": F.greatest("ry1", "ry2")})
-    lines = edges.select("edge_id", "u", "v", "key", *LINE, F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
-    ray, line, own = [F.col(f"l_r{c}") for c in LINE], [F.col(f"r_{c}") for c in LINE], [F.col(f"l_{c}") for c in LINE]
-    # A ray is long and thin: cells much smaller than its reach leave few lines to test.
-    hits = box_join(rays, lines, min(reach / 4, 200.0), segments_cross(ray, line)).where("l_edge_id <> r_edge_id")
-    gap = F.sqrt(segment_distance_squared(F.col("l_cx"), F.col("l_cy"), *line))
+    own, line = [F.col(f"own_{c}") for c in LINE], [F.col(c) for c in LINE]
+    dx, dy = own[2] - own[0], own[3] - own[1]
+    span, cx, cy = hypot(dx, dy), (own[0] + own[2]) / 2, (own[1] + own[3]) / 2
+    ux, uy, skip = F.try_divide(dx, span), F.try_divide(dy, span), F.when(span > offset, offset).otherwise(0.0)
+    ray = [cx - uy * skip, cy + ux * skip, cx - uy * reach, cy + ux * reach]
+    gap = F.sqrt(segment_distance_squared(cx, cy, *line))
     far = gap >= least if inclusive else gap > least
     slope = lambda p: bearing(p[2] - p[0], p[3] - p[1])
-    picked = F.struct(gap.alias("gap"), F.struct(F.col("r_u").alias("u"), F.col("r_v").alias("v"), F.col("r_key").alias("key")).alias("edge"), axis_deviation(slope(own), slope(line)).alias("turn"), segment_gap(own, line).alias("apart"))
-    best = hits.where(far).groupBy(F.col("l_edge_id").alias("edge_id")).agg(F.min(picked).alias("b"))
+    picked = F.struct(gap.alias("gap"), F.struct("u", "v", "key").alias("edge"), axis_deviation(slope(own), slope(line)).alias("turn"), segment_gap(own, line).alias("apart"))
+    hit = (F.col("id") != F.col("edge_id")) & far & segments_cross(ray, line)
+
+    # A ray is its edge in the shuffle; what follows from the edge is computed again behind it.
+    rays = edges.select(F.col("edge_id").alias("id"), *(F.col(c).alias(f"own_{c}") for c in LINE)).where(span > 0)
+    lines = edges.select("edge_id", "u", "v", "key", *LINE)
+    near = reach / 3
+    cell = 2 * near
+    at = lambda v: F.floor(v / cell).cast("long")
+    spans = [F.sequence(at(F.least(a, b) - near), at(F.greatest(a, b) + near)) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    close = rays.withColumns({"__cx": at(cx), "__cy": at(cy)}).join(lines.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1])), ["__cx", "__cy"])
+    close = close.where((gap <= near) & hit).groupBy("id", "__cx", "__cy").agg(F.min(picked).alias("b"))
+    close = materialise(close.select("id", "b"))
+
+    box = lambda p: {"minx": F.least(p[0], p[2]), "miny": F.least(p[1], p[3]), "maxx": F.greatest(p[0], p[2]), "maxy": F.greatest(p[1], p[3])}
+    # A ray is long and thin: cells much smaller than its reach leave few lines to test.
+    pairs = box_join(rays.join(close.select("id"), "id", "left_anti").withColumns(box(ray)), lines.withColumns(box(line)), min(reach / 4, 200.0))
+    pairs = pairs.select(F.col("l_id").alias("id"), *(F.col(f"l_own_{c}").alias(f"own_{c}") for c in LINE), *(F.col(f"r_{c}").alias(c) for c in lines.columns))
+    wide = pairs.where(hit).groupBy("id").agg(F.min(picked).alias("b"))
+    best = close.unionByName(wide).withColumnRenamed("id", "edge_id")
     out = edges.select("edge_id").join(best, "edge_id", "left")
     return out.select("edge_id", F.col("b.edge").alias("right_neighbour"), F.col("b.turn").alias("right_neighbour_angle_deviation"), F.col("b.apart").alias("right_neighbour_distance"))
 

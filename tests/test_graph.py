@@ -74,3 +74,11 @@ def test_right_neighbour_of_parallel_streets(spark):
     got = {r.edge_id: r for r in roads.right_neighbours(e).collect()}
     assert tuple(got[0].right_neighbour) == (2, 3, 0) and abs(got[0].right_neighbour_angle_deviation - 5.710593) < 1e-6 and abs(got[0].right_neighbour_distance - 50) < 0.5
     assert got[1].right_neighbour is None and got[1].right_neighbour_distance is None
+
+
+def test_right_neighbour_near_and_far(spark):
+    """Rays that find nothing near their middle see the rest of their reach; one found near beats one found on the way."""
+    points = {0: (0.0, 0.0), 1: (100.0, 0.0), 2: (0.0, 250.0), 3: (100.0, 250.0), 4: (1000.0, 0.0), 5: (1100.0, 0.0), 6: (1000.0, 90.0), 7: (1100.0, 90.0), 8: (1000.0, 200.0), 9: (1100.0, 200.0), 10: (2000.0, 0.0), 11: (2100.0, 0.0), 12: (2000.0, 310.0), 13: (2100.0, 310.0)}
+    e, _ = chain(spark, points, [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (12, 13)])
+    got = {r.edge_id: (r.right_neighbour and r.right_neighbour.u, r.right_neighbour_distance) for r in roads.right_neighbours(e).collect()}
+    assert got == {0: (2, 250.0), 1: (None, None), 2: (6, 90.0), 3: (8, 110.0), 4: (None, None), 5: (None, None), 6: (None, None)}
