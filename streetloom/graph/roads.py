@@ -165,36 +165,40 @@ def right_neighbours(edges: DataFrame, reach: float = CONFIG.right_ray, least: f
     there is nearer than all that lies beyond; only rays that found nothing are
     laid out over cells along their whole length.
     """
-    own, line = [F.col(f"own_{c}") for c in LINE], [F.col(c) for c in LINE]
-    dx, dy = own[2] - own[0], own[3] - own[1]
-    span, cx, cy = hypot(dx, dy), (own[0] + own[2]) / 2, (own[1] + own[3]) / 2
+    own, ray, line = [F.col(f"own_{c}") for c in LINE], [F.col(f"ray_{c}") for c in LINE], [F.col(c) for c in LINE]
+    dx, dy = line[2] - line[0], line[3] - line[1]
+    span, cx, cy = hypot(dx, dy), (line[0] + line[2]) / 2, (line[1] + line[3]) / 2
     ux, uy, skip = F.try_divide(dx, span), F.try_divide(dy, span), F.when(span > offset, offset).otherwise(0.0)
-    ray = [cx - uy * skip, cy + ux * skip, cx - uy * reach, cy + ux * reach]
-    gap = F.sqrt(segment_distance_squared(cx, cy, *line))
+    shot = [cx - uy * skip, cy + ux * skip, cx - uy * reach, cy + ux * reach]
+    # Written first, and the ray's columns below the joins: folded into one another, these expressions make methods too long for the JVM to compile.
+    edges = materialise(edges.select("edge_id", "u", "v", "key", *LINE))
+    rays = edges.where(span > 0).select(F.col("edge_id").alias("id"), cx.alias("cx"), cy.alias("cy"), *(v.alias(f"own_{c}") for c, v in zip(LINE, line, strict=True)), *(v.alias(f"ray_{c}") for c, v in zip(LINE, shot, strict=True)))
+    lines = edges.select("edge_id", "u", "v", "key", *LINE)
+    box = lambda p: {"minx": F.least(p[0], p[2]), "miny": F.least(p[1], p[3]), "maxx": F.greatest(p[0], p[2]), "maxy": F.greatest(p[1], p[3])}
+    rays, lined = rays.withColumns(box(ray)), box(line)
+    meets = (F.col("minx") <= lined["maxx"]) & (lined["minx"] <= F.col("maxx")) & (F.col("miny") <= lined["maxy"]) & (lined["miny"] <= F.col("maxy"))
+    gap = F.sqrt(segment_distance_squared(F.col("cx"), F.col("cy"), *line))
     far = gap >= least if inclusive else gap > least
     slope = lambda p: bearing(p[2] - p[0], p[3] - p[1])
-    picked = F.struct(gap.alias("gap"), F.struct("u", "v", "key").alias("edge"), axis_deviation(slope(own), slope(line)).alias("turn"), segment_gap(own, line).alias("apart"))
-    hit = (F.col("id") != F.col("edge_id")) & far & segments_cross(ray, line)
+    picked = F.struct(gap.alias("gap"), F.struct("u", "v", "key").alias("edge"), *LINE, *(F.col(f"own_{c}") for c in LINE))
+    hit = meets & (F.col("id") != F.col("edge_id")) & segments_cross(ray, line) & far
 
-    # A ray is its edge in the shuffle; what follows from the edge is computed again behind it.
-    rays = edges.select(F.col("edge_id").alias("id"), *(F.col(c).alias(f"own_{c}") for c in LINE)).where(span > 0)
-    lines = edges.select("edge_id", "u", "v", "key", *LINE)
     near = reach / 3
     cell = 2 * near
     at = lambda v: F.floor(v / cell).cast("long")
-    spans = [F.sequence(at(F.least(a, b) - near), at(F.greatest(a, b) + near)) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    close = rays.withColumns({"__cx": at(cx), "__cy": at(cy)}).join(lines.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1])), ["__cx", "__cy"])
-    close = close.where((gap <= near) & hit).groupBy("id", "__cx", "__cy").agg(F.min(picked).alias("b"))
-    close = materialise(close.select("id", "b"))
+    spans = [F.sequence(at(F.least(p, q) - near), at(F.greatest(p, q) + near)) for p, q in (("x1", "x2"), ("y1", "y2"))]
+    close = rays.withColumns({"__cx": at(F.col("cx")), "__cy": at(F.col("cy"))}).join(lines.withColumn("__cx", F.explode(spans[0])).withColumn("__cy", F.explode(spans[1])), ["__cx", "__cy"])
+    close = close.where(hit).groupBy("id", "__cx", "__cy").agg(F.min(picked).alias("b"))
+    close = materialise(close.where(F.col("b.gap") <= near).select("id", "b"))
 
-    box = lambda p: {"minx": F.least(p[0], p[2]), "miny": F.least(p[1], p[3]), "maxx": F.greatest(p[0], p[2]), "maxy": F.greatest(p[1], p[3])}
     # A ray is long and thin: cells much smaller than its reach leave few lines to test.
-    pairs = box_join(rays.join(close.select("id"), "id", "left_anti").withColumns(box(ray)), lines.withColumns(box(line)), min(reach / 4, 200.0))
-    pairs = pairs.select(F.col("l_id").alias("id"), *(F.col(f"l_own_{c}").alias(f"own_{c}") for c in LINE), *(F.col(f"r_{c}").alias(c) for c in lines.columns))
-    wide = pairs.where(hit).groupBy("id").agg(F.min(picked).alias("b"))
-    best = close.unionByName(wide).withColumnRenamed("id", "edge_id")
-    out = edges.select("edge_id").join(best, "edge_id", "left")
-    return out.select("edge_id", F.col("b.edge").alias("right_neighbour"), F.col("b.turn").alias("right_neighbour_angle_deviation"), F.col("b.apart").alias("right_neighbour_distance"))
+    pairs = box_join(rays.join(close.select("id"), "id", "left_anti"), lines.withColumns(box(line)), min(reach / 4, 200.0))
+    names = {"id": "l_id", **{c: f"l_{c}" for c in rays.columns[1:]}, **{c: f"r_{c}" for c in lines.columns}}
+    wide = pairs.select(*(F.col(old).alias(new) for new, old in names.items())).where(hit).groupBy("id").agg(F.min(picked).alias("b"))
+    best = close.unionByName(wide).select(F.col("id").alias("edge_id"), "b.*")
+    best = best.select("edge_id", "edge", axis_deviation(slope(own), slope(line)).alias("turn"), segment_gap(own, line).alias("apart"))
+    names = {"edge": "right_neighbour", "turn": "right_neighbour_angle_deviation", "apart": "right_neighbour_distance"}
+    return edges.select("edge_id").join(best, "edge_id", "left").withColumnsRenamed(names)
 
 
 def right_major_neighbours(edges: DataFrame) -> DataFrame:
