@@ -23,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task turns into the city. Files of keys pack so well that a split by bytes leaves millions to one.
+ROWS_A_TASK = 50_000
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str, *others: str) -> DataFrame:
+    """``key`` and ``others`` of a table, dealt by key over as many tasks as its rows ask for."""
+    whole = table(spark, sf_dir, name)
+    rows = whole.count()
+    slim = whole.select(key, *others)
+    return slim.repartition(rows // ROWS_A_TASK + 1, key) if rows > ROWS_A_TASK else slim
+
+
 def _div(a: Column, n: int) -> Column:
     return F.floor(a / n).cast("long")
 
@@ -35,7 +47,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of four houses on a lattice; in two of three rows they touch."""
     i = F.col("id")
     group = _div(i, 4)
-    base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 100).alias("ghsl_height"))
+    base = spread(spark, sf_dir, "part", "p_partkey", "p_retailprice").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 100).alias("ghsl_height"))
     boxed = base.select(
         "id", "ghsl_height", (60 * (group % 50) + (i % 4) * F.when(group % 3 == 0, 9).otherwise(8)).cast("double").alias("minx"), (60 * _div(group, 50)).cast("double").alias("miny"),
         (6 + group % 11 + i % 3).cast("double").alias("h"),
@@ -82,13 +94,14 @@ def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lattice of 80 m with a jitter of up to 7 m."""
     m = side(spark, sf_dir)
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("node_id"), _x(k, m).alias("x"), _y(k, m).alias("y"))
+    return spread(spark, sf_dir, "customer", "c_custkey").select(k.alias("node_id"), _x(k, m).alias("x"), _y(k, m).alias("y"))
 
 
 def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice links both ways without some, some of them one way, a few of them twice."""
-    customers = table(spark, sf_dir, "customer")
-    n, m = customers.count(), side(spark, sf_dir)
+    customers = spread(spark, sf_dir, "customer", "c_custkey")
+    n = table(spark, sf_dir, "customer").count()
+    m = isqrt(n)
     k = F.col("c_custkey")
     ways = F.array(*(F.struct(F.lit(d).cast("long").alias("dir"), (k + step).alias("v")) for d, step in enumerate((1, m, -1, -m))))
     links = customers.select(k.alias("u"), F.inline(ways)).where((F.col("v") >= 0) & (F.col("v") < n))
