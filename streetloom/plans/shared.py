@@ -14,6 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset (one machine) a temporary folder for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: name a folder there that all executors share")
         own = tempfile.mkdtemp(prefix="streetloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
