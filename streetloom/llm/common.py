@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def columns_of(df: DataFrame, *names: str) -> list[str]:
@@ -26,6 +27,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def one_text(df: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """``text_col, label`` of each id once: its least label, and the text with the least XXH64 (a null text counts as one)."""
+    one = df.groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col), F.min(label).alias(label))
+    return one.select(text_col, label)
+
+
 _HELD: dict[str, dict] = {}
 
 

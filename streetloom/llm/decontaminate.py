@@ -26,7 +26,7 @@ BLOCK_CHARS = 1_000_000
 
 def fold(text: str | None) -> str:
     """Lower case, character by character, so that offsets stay."""
-    low = (text or "").lower()
+    low = (text or "").replace("\u03a3", "\u03c3").lower()  # lower() alone folds a capital sigma by what follows it
     return low if len(low) == len(text or "") else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 

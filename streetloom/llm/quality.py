@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, held, small
+from .common import columns_of, held, one_text, small
 
 #: Labelled rows learned from, at most: those of least hash of the id.
 MAX_TRAIN_ROWS = 20_000
@@ -222,14 +222,15 @@ def train(
 
     At most ``max_rows`` labels (see :data:`MAX_TRAIN_ROWS`) are broadcast, and
     their statistics come back to the driver. Of several labels of an id the
-    least counts; null ids and labels are left out.
+    least counts, of several texts of an id the one with the least XXH64; null
+    ids and labels are left out.
     """
     columns_of(labels, id_col, label_col)
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows if training is None else rows.where(training)
     one = rows.groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("__label"))
     sample = F.broadcast(one.orderBy(F.xxhash64(id_col), id_col).limit(max_rows))
-    texts = docs.select(id_col, text_col).join(sample, id_col)
+    texts = one_text(docs.select(id_col, text_col).join(sample, id_col), id_col, text_col, "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("quality")

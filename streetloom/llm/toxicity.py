@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from streetloom.plans.shared import materialise, release
 
-from .common import columns_of, held, small
+from .common import columns_of, held, one_text, small
 
 #: Labelled rows learned from, at most: those of least hash of the id.
 MAX_TRAIN_ROWS = 30_000
@@ -194,13 +194,14 @@ def train(
 
     At most ``max_rows`` labels are used (see :data:`MAX_TRAIN_ROWS`); that
     bounds what is broadcast, what comes back from scoring them (one number
-    each) and, with their texts, the significant tokens. Without labels of both
+    each) and, with their texts, the significant tokens. Of several texts of an
+    id the one with the least XXH64 counts. Without labels of both
     kinds the model has no tokens and gives the smoothed base rate.
     """
     columns_of(docs, id_col, text_col)
     columns_of(labels, id_col, label_col)
     sample = F.broadcast(_sample(labels.select(id_col, label_col), id_col, label_col, training, max_rows))
-    texts = docs.select(id_col, text_col).join(sample, id_col).select(text_col, "__label")
+    texts = one_text(docs.select(id_col, text_col).join(sample, id_col), id_col, text_col, "__label")
     # Copies count once, or a text copied often would make its words significant. (A text with both labels stays with each.)
     texts = materialise(texts.withColumn("__h", F.xxhash64(text_col)).dropDuplicates(["__h", "__label"]).drop("__h"))
     counts = materialise(texts.mapInArrow(_counts, "token string, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))

@@ -69,3 +69,9 @@ def test_empty(spark):
     assert dc.find_items(docs, bench).collect() == []
     assert dc.drop_contaminated(docs, bench).count() == 1
     assert dc.find_items(docs.limit(0), spark.createDataFrame([(1, "some text")], "item_id long, text string")).collect() == []
+
+
+def test_fold_is_by_character():
+    for text in ("ΑΣ", "ΑΣΑ", "Σ İΣ", "AbC"):
+        assert len(dc.fold(text)) == len(text)
+    assert dc.fold("ΑΣ") + "α" == dc.fold("ΑΣΑ")

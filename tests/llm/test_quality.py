@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streetloom.llm import quality
+from streetloom.llm.common import one_text
 
 
 def make(rng, good):
@@ -63,3 +64,13 @@ def test_one_label_or_none(spark, tables):
     only = quality.train(docs, labels.where("quality = 1"))
     assert quality.score(docs.limit(1), only).first().score > 0.9
     assert quality.score(docs.limit(0), only).collect() == []
+
+
+def test_an_id_teaches_one_text(spark):
+    rows = [(1, "b c d", ""), (1, "a b c", ""), (1, "a b c", ""), (1, None, ""), (2, "x y !!", ""), (3, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, upper string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    pairs = docs.join(marks, "doc_id")
+    got = one_text(pairs, "doc_id", "text", "label").collect()
+    least = min(pairs.where("doc_id = 1").select("text", F.xxhash64("text").alias("h")).collect(), key=lambda r: r.h).text
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(least, 1), ("x y !!", 0), (None, 0)], "text string, label int").collect()))
