@@ -77,13 +77,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- bit-sliced comparison -------------------------------------------------
 
 
-def bit_planes(values: np.ndarray, bits: int = 64) -> np.ndarray:
-    """``bits`` rows of packed words: bit ``j`` of plane ``i`` is bit ``i`` of value ``j``."""
+def bit_planes(values: np.ndarray) -> np.ndarray:
+    """Rows of packed words: bit ``j`` of plane ``i`` is bit ``i`` of value ``j``. A value is one word or a row of words."""
     words = len(values) // 64 + 2  # a spare word, so that shifts can read past the end
-    lanes = np.zeros((words * 64, 8), np.uint8)
-    lanes[: len(values)] = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)
-    out = np.empty((bits, words), np.uint64)
-    for i in range(bits):
+    size = 8 * (values.shape[1] if values.ndim > 1 else 1)
+    lanes = np.zeros((words * 64, size), np.uint8)
+    lanes[: len(values)] = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(len(values), size)
+    out = np.empty((8 * size, words), np.uint64)
+    for i in range(len(out)):
         out[i] = np.packbits((lanes[:, i // 8] >> (i % 8)) & 1, bitorder="little").view(np.uint64)
     return out
 
@@ -135,7 +136,7 @@ def close_lanes(planes: np.ndarray, by: int, lanes: int, live: np.ndarray, radiu
     return found[found < lanes]
 
 
-class _Forest:
+class Forest:
     """Union-find over row numbers that keeps the least row as the root."""
 
     def __init__(self, n: int) -> None:
@@ -155,23 +156,22 @@ class _Forest:
                 root[:] = up
 
 
-def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each run of equal ``keys``."""
-    n = len(keys)
+def bucket_forest(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal ``keys``, as numbers of rows."""
+    n, none = len(keys), np.empty(0, np.int64)
     if n < 2:
-        return values[:0], values[:0]
+        return none, none
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, n])
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 1]
     if not len(order):
-        return values[:0], values[:0]
+        return none, none
     sizes = sizes[order]
     ends = np.cumsum(sizes)
     rows = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(starts[order], sizes)
-    values = values[rows]
     left = np.repeat(ends, sizes) - np.arange(len(rows))  # members from a row to the end of its bucket
-    planes, forest = bit_planes(values), _Forest(len(rows))
+    planes, forest = bit_planes(values[rows]), Forest(len(rows))
     groups = len(sizes)
     for by in range(1, int(sizes[0])):
         while groups and sizes[groups - 1] <= by:
@@ -183,7 +183,13 @@ def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
         if len(hit):
             forest.join(hit, hit + by)
     leaf = np.flatnonzero(forest.root != np.arange(len(rows)))
-    return values[leaf], values[forest.root[leaf]]
+    return rows[leaf], rows[forest.root[leaf]]
+
+
+def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`bucket_forest` as values."""
+    a, b = bucket_forest(keys, values, radius)
+    return values[a], values[b]
 
 
 def _link_batches(radius: int):
