@@ -37,6 +37,7 @@ WORDS, COMPARED = 8, 4  # 64-bit words of a fingerprint, and how many of them ar
 RADIUS = 66
 MISSED = 1e-5
 SPLIT_ABOVE = 2048  # members of a class of candidates that are compared in one task
+THIN = 1 << 18  # links between candidates that become one forest
 _SLAB, _ROWS = 1 << 12, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5)
@@ -231,6 +232,23 @@ def candidates(first: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.repartition("band").sortWithinPartitions("band").mapInArrow(search, "a long, b long").distinct()
 
 
+def thinned(links: DataFrame, rows: int = THIN) -> DataFrame:
+    """Fewer rows ``a, b`` with the same components: a forest for every so many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if not ends:
+            return
+        nodes, codes = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        a, b = codes.reshape(2, -1)
+        forest = Forest(len(nodes))
+        forest.join(a, b)
+        leaf = np.flatnonzero(forest.root != np.arange(len(nodes)))
+        yield _pairs(nodes[leaf], nodes[forest.root[leaf]])
+
+    return links.coalesce(max(1, -(-links.count() // rows))).mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, first: DataFrame, classes: DataFrame, id_col: str, text_col: str, tag: str, shingle: int, similarity: float, split_above: int) -> DataFrame:
     """``a, b``: forests of the links of at least ``similarity`` inside each class (``node, component``).
 
@@ -279,7 +297,7 @@ def near_links(
     """Rows ``a, b`` whose components are those of the links of ``similarity`` among shingle sets."""
     first = materialise(sig.groupBy("key").agg(F.min(F.struct(id_col, tag)).alias("head"), F.first("fp").alias("fp")))
     close = materialise(candidates(first, similarity))
-    classes = connected_components(close, "a", "b")
+    classes = connected_components(thinned(close), "a", "b")
     found = materialise(verified(docs, first, classes, id_col, text_col, tag, shingle, similarity, split_above))
     release(first)
     release(close)

@@ -131,3 +131,14 @@ def test_large_class_is_compared_in_parts(spark):
     sig = near.signatures(docs, "doc_id", "text", "mark", 5)
     links = near.near_links(docs, sig, "doc_id", "text", "mark", 5, 0.8, split_above=3)
     assert near.connected_components(links, "a", "b").select("component").distinct().count() == 1
+
+
+def test_thinned_links_have_the_same_components(spark):
+    """A clique, a chain, loops and repeated links, over one and over many parts."""
+    rows = [(a, b) for a in range(40) for b in range(a, 40)] + [(i, i + 1) for i in range(50, 90)] * 2
+    links = spark.createDataFrame(rows, "a long, b long").repartition(8)
+    whole = {tuple(r) for r in near.connected_components(links, "a", "b").collect()}
+    for size, most in ((1 << 18, 79), (200, 400)):
+        less = near.thinned(links, size)
+        assert less.count() <= most and {tuple(r) for r in near.connected_components(less, "a", "b").collect()} == whole
+    assert near.thinned(links.limit(0)).collect() == []
