@@ -10,6 +10,10 @@ predecessor is the last token of the new prefix. Sets are numbered and their
 transitions stored when first met, so a seen transition is one table lookup.
 A token is emitted as soon as all open tokens agree on what lies before them,
 which takes at most the longest token of lookahead.
+
+Texts have most of their pre-tokens in common, but the rare ones of many texts
+are many. These are run together: sorted, they form a trie, and the states of
+all its prefixes are determined level by level with arrays, each prefix once.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +35,8 @@ MAX_STATES = 100_000
 MAX_PIECES = 150_000
 MAX_PAIRS = 300_000
 _FLUSH = 4096
+_SHORT = 64  # bytes of a pre-token that is kept, and run together with others
+_SLOTS = 19  # bits of the number of pairs of tokens that the arrays remember
 _ENDLESS = 1 << 60
 _BITS = 24  # room for a token id; an open token is its node above its predecessor's id plus one
 _LOW = (1 << _BITS) - 1
@@ -213,6 +220,134 @@ class Transducer:
         return out
 
 
+class Together:
+    """Maps the bytes of many short pre-tokens to their tokens: the transducer by arrays."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        words, ranks = vocabulary, vocabulary.ranks
+        self.token = np.array(words.token, np.int32)
+        self.inner = np.array([bool(k) for k in words.kids])
+        self.size = np.array([len(b) for b in words.bytes], np.int32)
+        halves = [words.halves(r) if words.bytes[r] else None for r in range(len(words.bytes))]
+        self.left, self.right = (np.array([h[i] if h else -1 for h in halves], np.int64) for i in (0, 1))
+        edges = np.array([(node << 8 | byte, below) for node, kids in enumerate(words.kids) for byte, below in kids.items()], np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        # Of each node and quarter of the bytes: a bit for each byte that leads on, and the number of edges before.
+        quarter = edges[:, 0] >> 6
+        self.bits = np.zeros(4 * len(words.kids), np.uint64)
+        np.bitwise_or.at(self.bits, quarter, np.uint64(1) << (edges[:, 0] & 63).astype(np.uint64))
+        self.first = np.searchsorted(quarter, np.arange(4 * len(words.kids))).astype(np.int32)
+        self.below = np.append(edges[:, 1], -1).astype(np.int32)
+        # All pairs of tokens that a merge joins, sorted, and its rank.
+        pairs = [(ranks[a] << _BITS | ranks[b], rank) for t, rank in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
+        made = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pairs, self.merged = np.append(made[:, 0], _ENDLESS), np.append(made[:, 1], _ENDLESS)
+        self.seen = np.full(1 << _SLOTS, -1, np.int64)  # the last pair of each slot, and whether it may meet
+        self.meets = np.zeros(1 << _SLOTS, bool)
+
+    def _down(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The trie node below each node; -1 if there is none."""
+        at = node << 2 | byte >> 6
+        bits, bit = self.bits[at], np.uint64(1) << (byte & 63).astype(np.uint64)
+        edge = self.first[at] + np.bitwise_count(bits & (bit - np.uint64(1)))
+        return self.below[np.where((bits & bit) != 0, edge, -1)]
+
+    def _meet(self, pairs: np.ndarray) -> np.ndarray:
+        """``Vocabulary.follows`` of pairs of tokens, by way of those met before."""
+        slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        out, new = self.meets[slot], np.flatnonzero(self.seen[slot] != pairs)
+        if new.size:
+            fresh, back = np.unique(pairs[new], return_inverse=True)
+            good = self._outlives(fresh >> _BITS, fresh & _LOW)
+            out[new] = good[back]
+            # Two fresh pairs may share a slot: the one that is written stands for both arrays.
+            self.seen[slot[new]] = np.arange(new.size)
+            won = self.seen[slot[new]]
+            self.seen[slot[new]], self.meets[slot[new]] = pairs[new[won]], out[new[won]]
+        return out
+
+    def _outlives(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Vocabulary.follows``, for all pairs at once."""
+        good, at = np.ones(len(a), bool), np.arange(len(a))
+        a_gone, b_gone = np.full(len(a), _ENDLESS), np.full(len(a), _ENDLESS)
+        while at.size:
+            pair = a << _BITS | b
+            known = np.searchsorted(self.pairs, pair)
+            merge = np.where(self.pairs[known] == pair, self.merged[known], _ENDLESS)
+            bad = (merge < a_gone) & (merge <= b_gone)
+            good[at[bad]] = False
+            a_made, b_made = self.right[a] >= 0, self.left[b] >= 0
+            take_a = a_made & (~b_made | (a > b))
+            take_b = b_made & ~take_a
+            a, a_gone = np.where(take_a, self.right[a], a), np.where(take_a, a, a_gone)
+            b, b_gone = np.where(take_b, self.left[b], b), np.where(take_b, b, b_gone)
+            on = (take_a | take_b) & ~bad
+            at, a, b, a_gone, b_gone = at[on], a[on], b[on], a_gone[on], b_gone[on]
+        return good
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Tokens of each piece; pieces are distinct, sorted and not empty."""
+        n, size = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(size.max(initial=0))
+        if not n:
+            return []
+        text = np.array(pieces, f"S{width}").view(np.uint8).reshape(n, width).astype(np.int32)
+        differs = text[1:] != text[:-1]
+        shared = np.where(differs.any(1), differs.argmax(1), width)
+        shared = np.append(0, np.minimum(shared, np.minimum(size[1:], size[:-1])))
+        last = np.zeros((n, width), np.int32)
+        # Open tokens of the prefixes of one level: their trie nodes and predecessors plus one, prefix by prefix.
+        node, before = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        count, start, owner = np.ones(1, np.int64), np.zeros(1, np.int64), np.zeros(n, np.int64)
+        for level in range(width):
+            longer = size > level
+            new = longer & (shared <= level)
+            row = np.flatnonzero(new)
+            parent = owner[row]
+            owner = np.cumsum(new) - 1  # holds for the longer pieces; those of one prefix stand together
+            many = count[parent]
+            who = np.repeat(np.arange(row.size), many)
+            one = np.arange(who.size) + (start[parent] - np.cumsum(many) + many)[who]
+            below = self._down(node[one], text[row, level][who])
+            on = np.flatnonzero(below >= 0)
+            who, below, prior = who[on], below[on], before[one[on]]
+            token = self.token[below]
+            ends = np.flatnonzero(token >= 0)
+            good = prior[ends] == 0
+            ask = np.flatnonzero(~good)
+            good[ask] = self._meet((prior[ends[ask]].astype(np.int64) - 1) << _BITS | token[ends[ask]])
+            ends = ends[good][::-1]
+            done = np.full(row.size, -1, np.int32)
+            done[who[ends]] = token[ends]  # of one prefix the first stands
+            if row.size and done.min() < 0:
+                raise ValueError(f"the vocabulary lacks byte {text[row[done.argmin()], level]}")
+            last[longer, level] = done[owner[longer]]
+            still = np.flatnonzero(self.inner[below])
+            count = np.bincount(who[still], minlength=row.size) + 1
+            stop = np.cumsum(count)
+            start = stop - count
+            node, before = np.zeros(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int32)
+            to = np.arange(still.size) + who[still]
+            node[to], before[to] = below[still], prior[still]
+            before[stop - 1] = done + 1  # a token may begin here: the root, behind the last token
+        return self._back(last, size)
+
+    def _back(self, last: np.ndarray, size: np.ndarray) -> list[tuple[int, ...]]:
+        row, upto, rounds = np.arange(len(size)), size, []
+        while row.size:
+            token = last[row, upto - 1]
+            rounds.append((row, token))
+            upto = upto - self.size[token]
+            row, upto = row[upto > 0], upto[upto > 0]
+        many = np.bincount(np.concatenate([r for r, _ in rounds]), minlength=len(size))
+        stop = np.cumsum(many)
+        flat = np.empty(int(stop[-1]), np.int32)
+        for k, (row, token) in enumerate(rounds):
+            flat[stop[row] - 1 - k] = token
+        ids = flat.tolist()
+        return [tuple(ids[a:b]) for a, b in zip((stop - many).tolist(), stop.tolist(), strict=True)]
+
+
 # What the classes L, N and White_Space of Unicode hold below U+0100.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -231,13 +366,30 @@ class _Pieces(dict):
     """Tokens of each pre-token met so far; emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int) -> None:
-        self.ranks, self.limit, self.run = vocabulary.ranks, limit, Transducer(vocabulary).encode
+        self.ranks, self.limit, self.run, self.run_all = vocabulary.ranks, limit, Transducer(vocabulary).encode, Together(vocabulary).encode
+
+    def learn(self, pieces: set[str]) -> None:
+        """Runs those together that are short and not known yet; ``pieces`` are ``limit`` at most."""
+        new = pieces.difference(self)
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = pieces
+        open_ = {}
+        for piece in new:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(data)
+            if whole is not None:
+                self[piece] = (whole,)
+            elif len(data) <= _SHORT:
+                open_[data] = piece
+        order = sorted(open_)
+        self.update(zip(map(open_.__getitem__, order), self.run_all(order), strict=True))
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(data)
         found = (whole,) if whole is not None else tuple(self.run(data))
-        if len(data) <= 64:
+        if len(data) <= _SHORT:
             if len(self) >= self.limit:
                 self.clear()
             self[piece] = found
@@ -252,16 +404,41 @@ class Encoder:
         self._any, self._latin = regex.compile(pattern), latin_pattern(pattern)
         self._pieces = _Pieces(self.words, max_pieces)
 
-    def encode(self, text: str | None) -> list[int]:
+    def _split(self, text: str | None) -> list[str]:
         if not text:
             return []
         try:
             text.encode("latin-1")
-            found = self._latin.findall(text)
+            return self._latin.findall(text)
         except UnicodeEncodeError:
-            found = self._any.findall(text)
+            return self._any.findall(text)
+
+    def _ids(self, found: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self._pieces.__getitem__, found)))
 
+    def encode(self, text: str | None) -> list[int]:
+        return self._ids(self._split(text))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """Ids of each text; pre-tokens of many texts, or of a part of a long one, are run together."""
+        waiting: list[list[str]] = []
+        count, most = 0, max(1, self._pieces.limit)
+        for text in texts:
+            found = self._split(text)
+            if count + len(found) > most:
+                yield from self._together(waiting)
+                waiting, count = [], 0
+            if len(found) > most:
+                yield list(chain.from_iterable(chain.from_iterable(self._together([found[at : at + most]])) for at in range(0, len(found), most)))
+            else:
+                waiting.append(found)
+                count += len(found)
+        yield from self._together(waiting)
+
+    def _together(self, several: list[list[str]]) -> Iterator[list[int]]:
+        self._pieces.learn(set().union(*several))
+        return map(self._ids, several)
+
 
 class Decoder:
     """Ids to bytes, or to text piece by piece."""
@@ -357,7 +534,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             own = _once(Encoder, ranks.value, pattern)
-            ids = pa.array((own.encode(t.as_py()) for t in b.column(at)), pa.list_(pa.int32()))
+            ids = pa.array(own.encode_all(t.as_py() for t in b.column(at)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*kept, out_col])
 
     return docs.select(*kept).mapInArrow(run, schema)
@@ -395,8 +572,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             there, back = _once(Encoder, ranks.value, pattern), _once(Decoder, ranks.value)
             decimal = _once(_Decimal, ranks.value).of
             count, ids_sha, text_sha = [], [], []
-            for text in b.column(1):
-                ids = there.encode(text.as_py())
+            for ids in there.encode_all(t.as_py() for t in b.column(1)):
                 count.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(back.to_bytes(ids)).hexdigest())

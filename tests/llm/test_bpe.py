@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,6 +38,47 @@ def test_ids_match_the_library(ranks, oracle):
         assert own.encode(text) == oracle.encode_ordinary(text), text[:80]
 
 
+@pytest.mark.parametrize("max_pieces", [1, 500, 150_000])
+def test_many_texts_match_the_library(ranks, oracle, max_pieces):
+    own, given = bpe.Encoder(ranks, public_tokenizers.PATTERN, max_pieces), [None, *texts(), " ".join(f"q{n}ü{n * n}" for n in range(3000))]
+    assert list(own.encode_all(given)) == [oracle.encode_ordinary(text or "") for text in given]
+    assert len(own._pieces) <= max_pieces
+    assert list(own.encode_all([])) == []
+
+
+def test_short_pieces_of_many_texts_are_run_together(ranks, oracle, monkeypatch):
+    rng, one_by_one, stepped = random.Random(11), [], bpe.Transducer.encode
+    monkeypatch.setattr(bpe.Transducer, "encode", lambda self, piece: one_by_one.append(piece) or stepped(self, piece))
+    own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    given = [" ".join("".join(rng.choice("etaoinshrdluéß") for _ in range(rng.randrange(1, 40))) for _ in range(200)) for _ in range(30)] + ["z" * 65]
+    assert list(own.encode_all(given)) == [oracle.encode_ordinary(text) for text in given]
+    assert one_by_one == [b"z" * 65]
+
+
+def test_arrays_judge_pairs_like_one_by_one(ranks):
+    words, rng = bpe.Vocabulary(ranks), random.Random(5)
+    made = [r for t, r in ranks.items() if len(t) == 1 or words.halves(r)]
+    pairs = [(rng.choice(made), rng.choice(made)) for _ in range(20000)]
+    pairs += [(ranks[t[:i]], ranks[t[i:]]) for t in rng.sample(sorted(ranks), 3000) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    together = bpe.Together(words)
+    asked = np.array([a << 24 | b for a, b in pairs])
+    want = [words.follows(a, b) for a, b in pairs]
+    assert 0 < sum(want) < len(want)
+    for _ in range(2):  # new pairs, then known ones
+        assert together._meet(asked).tolist() == want
+
+
+def test_a_missing_byte_is_an_error_of_both_ways():
+    few = {bytes([b]): b for b in range(97, 123)}
+    own = bpe.Encoder(few, public_tokenizers.PATTERN)
+    assert list(own.encode_all(["abcxyz"])) == [[97, 98, 99, 120, 121, 122]]
+    for bad in ("abCd", "C"):
+        with pytest.raises(ValueError, match="lacks byte 67"):
+            own.encode(bad)
+        with pytest.raises(ValueError, match="lacks byte 67"):
+            list(own.encode_all([bad]))
+
+
 def test_states_can_be_dropped(ranks, oracle):
     own = bpe.Transducer(bpe.Vocabulary(ranks), max_states=20)
     for text in texts():
