@@ -36,6 +36,7 @@ MAX_PIECES = 150_000
 MAX_PAIRS = 300_000
 _FLUSH = 4096
 _SHORT = 64  # bytes of a pre-token that is kept, and run together with others
+_CROWD = 1 << 15  # pre-tokens run together at once, which bounds the arrays
 _SLOTS = 19  # bits of the number of pairs of tokens that the arrays remember
 _ENDLESS = 1 << 60
 _BITS = 24  # room for a token id; an open token is its node above its predecessor's id plus one
@@ -383,7 +384,9 @@ class _Pieces(dict):
             elif len(data) <= _SHORT:
                 open_[data] = piece
         order = sorted(open_)
-        self.update(zip(map(open_.__getitem__, order), self.run_all(order), strict=True))
+        for at in range(0, len(order), _CROWD):
+            part = order[at : at + _CROWD]
+            self.update(zip(map(open_.__getitem__, part), self.run_all(part), strict=True))
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")

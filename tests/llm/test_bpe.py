@@ -55,6 +55,16 @@ def test_short_pieces_of_many_texts_are_run_together(ranks, oracle, monkeypatch)
     assert one_by_one == [b"z" * 65]
 
 
+def test_crowds_of_pieces_are_run_in_parts(ranks, oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "_CROWD", 100)
+    own, sizes = bpe.Encoder(ranks, public_tokenizers.PATTERN), []
+    run = own._pieces.run_all
+    own._pieces.run_all = lambda part: sizes.append(len(part)) or run(part)
+    text = " ".join(f"q{chr(97 + n % 26)}x{'éz'[n % 2] * (n % 50)}" for n in range(3000))
+    assert list(own.encode_all([text])) == [oracle.encode_ordinary(text)]
+    assert len(sizes) > 1 and max(sizes) == 100
+
+
 def test_arrays_judge_pairs_like_one_by_one(ranks):
     words, rng = bpe.Vocabulary(ranks), random.Random(5)
     made = [r for t, r in ranks.items() if len(t) == 1 or words.halves(r)]
